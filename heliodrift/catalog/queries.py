@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from heliodrift.operators.combine import drop_duplicates, union_plants
 from heliodrift.operators.describe import describe
 from heliodrift.operators.encode import (
     category_map,
+    dummy_names,
     fit_scaler,
     one_hot,
     scalable_columns,
@@ -47,6 +49,14 @@ from heliodrift.operators.sequences import lag_mean_names, lags_and_means
 from heliodrift.operators.spine import entity_spine, future_spine
 from heliodrift.plans.clean import clean, fill_measures, with_parsed_time
 from heliodrift.plans.features import future_features, time_features
+from heliodrift.plans.forests import (
+    CHAIN_PROFILE,
+    LAG_PROFILE,
+    chain_features,
+    chain_forecast,
+    holdout_r2,
+    lag_forecast,
+)
 from heliodrift.plans.persistence import persistence_forecast, persistence_weather
 from heliodrift.plans.reports import (
     CHAIN_CONTEXT_ROWS,
@@ -361,6 +371,27 @@ def clamped_energy(spark, sf_dir):
     return gen.select(*ORDER, above.alias("above_50"), energy(above).alias("energy"))
 
 
+# The library's profiles have 50 and 150 trees; minutes of fitting on a few cores.
+# The registered forests learn from all rows too, but are smaller.
+_SMALL_CHAIN = replace(CHAIN_PROFILE, trees=10, depth=6)
+_SMALL_LAG = replace(LAG_PROFILE, trees=10, depth=6)
+
+
+def forest_chain_forecast(spark, sf_dir):
+    return chain_forecast(_history(spark, sf_dir), _SMALL_CHAIN)
+
+
+def forest_lag_forecast(spark, sf_dir):
+    return lag_forecast(_history(spark, sf_dir), profile=_SMALL_LAG)
+
+
+def forest_holdout_r2(spark, sf_dir):
+    history = _history(spark, sf_dir)
+    categories = category_map(history)
+    frame = one_hot(time_features(history, cyclical=False), categories)
+    return holdout_r2(frame, chain_features(dummy_names(categories)), _SMALL_CHAIN)
+
+
 QUERIES: dict[str, Query] = {
     "combine_generation_weather": combine_generation_weather,
     "preview_nine_columns": preview_nine_columns,
@@ -405,4 +436,7 @@ QUERIES: dict[str, Query] = {
     "full_forecast_output": full_forecast_output,
     "tail_history": tail_history,
     "clamped_energy": clamped_energy,
+    "forest_chain_forecast": forest_chain_forecast,
+    "forest_lag_forecast": forest_lag_forecast,
+    "holdout_r2": forest_holdout_r2,
 }
