@@ -24,11 +24,11 @@ from heliodrift.operators.combine import drop_duplicates, union_plants
 from heliodrift.operators.describe import describe
 from heliodrift.operators.encode import (
     category_map,
-    dummy_names,
     fit_scaler,
     one_hot,
     scalable_columns,
 )
+from heliodrift.operators.layout import MAX_SEGMENT_ROWS, choose_cell
 from heliodrift.operators.nearest import persist_last, persist_nearest
 from heliodrift.operators.profile import (
     at_latest,
@@ -52,7 +52,6 @@ from heliodrift.plans.features import future_features, time_features
 from heliodrift.plans.forests import (
     CHAIN_PROFILE,
     LAG_PROFILE,
-    chain_features,
     chain_forecast,
     holdout_r2,
     lag_forecast,
@@ -86,6 +85,20 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _filled_by_source(spark, sf_dir) -> DataFrame:
+    return fill_measures(views.combined(spark, sf_dir), cell=views.BY_SOURCE)
+
+
+def _filled_over_all(spark, sf_dir) -> tuple[DataFrame, str]:
+    """Filled over one global order, and the split it was filled with.
+
+    The weather view has one row per key, so the join adds no rows and the split can
+    be chosen on the generation readings alone.
+    """
+    cell = choose_cell(views.generation(spark, sf_dir), (), ORDER, MAX_SEGMENT_ROWS)
+    return fill_measures(views.combined(spark, sf_dir), by=(), cell=cell), cell
+
+
 def combine_generation_weather(spark, sf_dir):
     return views.combined(spark, sf_dir)
 
@@ -180,11 +193,11 @@ def dedup_all(spark, sf_dir):
 
 
 def fill_global(spark, sf_dir):
-    return fill_measures(views.combined(spark, sf_dir), by=())
+    return _filled_over_all(spark, sf_dir)[0]
 
 
 def fill_by_source(spark, sf_dir):
-    return fill_measures(views.combined(spark, sf_dir))
+    return _filled_by_source(spark, sf_dir)
 
 
 def lenient_parse(spark, sf_dir):
@@ -232,24 +245,27 @@ def cyclical_features(spark, sf_dir):
     return _rounded(table, 9, *CYCLICAL_COLUMNS)
 
 
-def _lagged(filled: DataFrame, by) -> DataFrame:
+def _lagged(filled: DataFrame, by, cell: str) -> DataFrame:
     columns = WEATHER + POWER
-    table = lags_and_means(filled, columns, by, null_free=True)
+    table = lags_and_means(filled, columns, by, null_free=True, cell=cell)
     means = [c for c in lag_mean_names(columns) if "_roll_mean_" in c]
     return _rounded(table.select(*ORDER, *lag_mean_names(columns)), 6, *means)
 
 
 def lag_roll_global(spark, sf_dir):
-    return _lagged(fill_measures(views.combined(spark, sf_dir), by=()), ())
+    filled, cell = _filled_over_all(spark, sf_dir)
+    return _lagged(filled, (), cell)
 
 
 def lag_roll_by_source(spark, sf_dir):
-    return _lagged(fill_measures(views.combined(spark, sf_dir)), ENTITY)
+    return _lagged(_filled_by_source(spark, sf_dir), ENTITY, views.BY_SOURCE)
 
 
 def lag_roll_with_gaps(spark, sf_dir):
     """Lags of columns with nulls: the fill after the lag has real work to do."""
-    table = lags_and_means(views.combined(spark, sf_dir), WEATHER)
+    table = lags_and_means(
+        views.combined(spark, sf_dir), WEATHER, cell=views.BY_SOURCE
+    )
     means = [c for c in lag_mean_names(WEATHER) if "_roll_mean_" in c]
     return _rounded(table.select(*ORDER, *lag_mean_names(WEATHER)), 6, *means)
 
@@ -260,7 +276,7 @@ def one_hot_keys(spark, sf_dir):
 
 
 def standard_scale(spark, sf_dir):
-    table = fill_measures(views.combined(spark, sf_dir)).withColumns(calendar_parts())
+    table = _filled_by_source(spark, sf_dir).withColumns(calendar_parts())
     columns = scalable_columns(table, [*CALENDAR_COLUMNS, *MEASURES])
     scaled = fit_scaler(table, columns).transform(table)
     return _rounded(scaled.select(*ORDER, *columns), 6, *columns)
@@ -302,19 +318,19 @@ def persistence_shared(spark, sf_dir):
 
 
 def _history(spark, sf_dir) -> DataFrame:
-    return clean(views.combined(spark, sf_dir))
+    return clean(views.combined(spark, sf_dir), cell=views.BY_SOURCE)
 
 
 def future_feature_frame(spark, sf_dir):
     """Features of the future grid alone, on persisted weather."""
-    history = fill_measures(views.combined(spark, sf_dir))
+    history = _filled_by_source(spark, sf_dir)
     weather = persistence_weather(history).select(*ORDER, *WEATHER)
     return _future_columns(future_features(weather))
 
 
 def future_features_with_history(spark, sf_dir):
     """The same with lags that reach into each series' last readings."""
-    history = fill_measures(views.combined(spark, sf_dir))
+    history = _filled_by_source(spark, sf_dir)
     weather = persistence_weather(history).select(*ORDER, *WEATHER)
     return _future_columns(future_features(weather, history=history))
 
@@ -382,14 +398,13 @@ def forest_chain_forecast(spark, sf_dir):
 
 
 def forest_lag_forecast(spark, sf_dir):
-    return lag_forecast(_history(spark, sf_dir), profile=_SMALL_LAG)
+    return lag_forecast(
+        _history(spark, sf_dir), profile=_SMALL_LAG, cell=views.BY_SOURCE
+    )
 
 
 def forest_holdout_r2(spark, sf_dir):
-    history = _history(spark, sf_dir)
-    categories = category_map(history)
-    frame = one_hot(time_features(history, cyclical=False), categories)
-    return holdout_r2(frame, chain_features(dummy_names(categories)), _SMALL_CHAIN)
+    return holdout_r2(_history(spark, sf_dir), _SMALL_CHAIN)
 
 
 QUERIES: dict[str, Query] = {

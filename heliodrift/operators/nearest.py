@@ -27,49 +27,58 @@ def persist_nearest(
     """The :func:`entity_spine`, with ``columns`` read nearest to ``time - shift``.
 
     Equally near readings: the later wins. The wanted times form a regular grid, so
-    history first shrinks, map-side, to the earliest and latest reading of each
-    series in each grid slot; at most ``periods + 1`` rows per series are left to
-    search, however many readings the series has.
+    one aggregation shrinks the history, map-side, to the earliest and latest reading
+    of each series in each grid slot. At most ``periods + 1`` rows per series are
+    left to search, however many readings the series has, and the last reading of
+    the series is among them.
 
     With ``entities='last'`` the spine is that of the last row's series, while the
     readings of the whole table are searched.
     """
+    if entities not in ("all", "last"):
+        raise ValueError(f"entities must be 'all' or 'last', not {entities!r}")
     by = tuple(by)
-    spine = entity_spine(history, by, entities, periods, step_minutes, order)
     search_by = by if entities == "all" else ()
-    # With a shared search every row of the spine looks at the same series.
-    origin = shift_minutes(spine_start(history, step_minutes), -shift)
+    start = spine_start(history, step_minutes)
     slots = _slot_edges(
-        history, columns, search_by, origin, periods, step_minutes, order
+        history, search_by, shift_minutes(start, -shift), periods, step_minutes, order
     )
-    targets = spine.select(
+    grouped = slots.groupBy(*search_by) if search_by else slots.groupBy()
+    series = grouped.agg(
+        # Bounded: one entry per slot.
+        F.map_from_entries(
+            F.collect_list(F.struct("__slot", F.struct("__earliest", "__latest")))
+        ).alias("__slots"),
+        F.max_by("__latest", "__slot").alias("__last"),
+    ).where(F.col("__last").isNotNull())
+    grid = series.select(
         *search_by,
-        F.col(STEP).cast("bigint").alias("__slot"),
-        shift_minutes(TIME, -shift).alias("__want"),
-        F.lit(True).alias("__target"),
-    )
-    both = targets.unionByName(
-        slots.withColumn("__target", F.lit(False)), allowMissingColumns=True
-    )
-    # Bounded: at most periods + 1 slots and periods targets in each series.
-    series = Window.partitionBy(*search_by)
-    up = series.orderBy("__slot", F.col("__target").desc())
-    down = series.orderBy(F.col("__slot").desc(), "__target")
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumns(
-        {
-            "__before": F.last("__latest", True).over(up.rowsBetween(*upto)),
-            "__after": F.last("__earliest", True).over(down.rowsBetween(*upto)),
-        }
-    ).where("__target")
-    chosen = found.select(
+        "__slots",
+        "__last",
+        F.explode(F.sequence(F.lit(-1), F.lit(periods - 1))).alias(STEP),
+    ).withColumn("__edges", F.col("__slots")[F.col(STEP).cast("bigint")])
+    # Windows over the slots of one series: bounded, and already in one place.
+    forward = Window.partitionBy(*search_by).orderBy(STEP)
+    backward = Window.partitionBy(*search_by).orderBy(F.col(STEP).desc())
+    first = Window.unboundedPreceding
+    time = start + F.make_dt_interval(mins=F.col(STEP) * step_minutes)
+    found = grid.select(
         *search_by,
-        F.col("__slot").cast("int").alias(STEP),
-        _nearer("__before", "__after", F.col("__want")).alias("__row"),
+        STEP,
+        "__last",
+        time.alias(TIME),
+        F.last("__edges.__latest", True).over(forward.rowsBetween(first, -1)).alias("__before"),
+        F.last("__edges.__earliest", True).over(backward.rowsBetween(first, 0)).alias("__after"),
+    ).where(F.col(STEP) >= 0)
+    nearer = _nearer("__before", "__after", shift_minutes(TIME, -shift))
+    others = [c for c in history.columns if c not in by]
+    return found.withColumn("__row", nearer).select(
+        *[F.col(c) if c in search_by else F.col(f"__last.{c}") for c in by],
+        *[F.col(f"__last.{c}").alias(f"last_{c}") for c in others],
+        STEP,
+        TIME,
+        *[F.col(f"__row.{c}").alias(c) for c in columns],
     )
-    values = [F.col(f"__row.{c}").alias(c) for c in columns]
-    keys = [*search_by, STEP]
-    return spine.join(chosen.select(*keys, *values), keys, "left")
 
 
 def persist_last(
@@ -87,7 +96,7 @@ def persist_last(
 
 
 def _slot_edges(
-    history, columns, by, origin: Column, periods, step_minutes, order
+    history, by, origin: Column, periods, step_minutes, order
 ) -> DataFrame:
     """Earliest and latest reading per series and slot.
 
@@ -98,13 +107,13 @@ def _slot_edges(
     number = F.floor(seconds_between(F.col(TIME), origin) / step).cast("bigint")
     others = [c for c in order if c in history.columns and c not in by]
     position = F.struct(*others, F.xxhash64(*history.columns).alias("__tie"))
-    row = F.struct(TIME, *columns)
+    rest = [c for c in history.columns if c not in by]
     keyed = history.where(F.col(TIME).isNotNull()).withColumn(
         "__slot", F.greatest(F.lit(-1), F.least(number, F.lit(periods - 1)))
     )
     return keyed.groupBy(*by, "__slot").agg(
-        F.min_by(row, position).alias("__earliest"),
-        F.max_by(row, position).alias("__latest"),
+        F.min_by(F.struct(*rest), position).alias("__earliest"),
+        F.max_by(F.struct(*rest), position).alias("__latest"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliodrift.functions.calendar import shift_minutes
-from heliodrift.operators.profile import last_rows, latest_time
+from heliodrift.operators.profile import last_rows
 from heliodrift.schemas import ENTITY, HORIZON, ORDER, STEP_MINUTES, TIME
 
 STEP = "step"
@@ -16,8 +16,7 @@ STEP = "step"
 
 def spine_start(history: DataFrame, step_minutes: int = STEP_MINUTES) -> Column:
     """One step after the latest reading of the whole table."""
-    latest = history.select(shift_minutes(F.max(TIME), step_minutes)).scalar()
-    return latest
+    return history.select(shift_minutes(F.max(TIME), step_minutes)).scalar()
 
 
 def spine_times(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heliodrift.functions.parsing import lenient_number, parse_time
 from heliodrift.operators.columns import check_columns, drop_null_keys
 from heliodrift.operators.combine import drop_duplicates
+from heliodrift.operators.layout import MAX_SEGMENT_ROWS, choose_cell
 from heliodrift.operators.sequences import fill
 from heliodrift.schemas import ENTITY, MEASURES, ORDER, TIME
 
@@ -47,8 +48,17 @@ def clean(
     df: DataFrame,
     by: Sequence[str] = ENTITY,
     include_time: bool = True,
-    **layout,
+    max_rows: int = MAX_SEGMENT_ROWS,
+    cell: str | None = None,
 ) -> DataFrame:
-    """Parse times, drop duplicates, fill. ``by=()`` fills over all series at once."""
-    unique = drop_duplicates(with_parsed_time(df), include_time)
-    return fill_measures(unique, by=by, **layout)
+    """Parse times, drop duplicates, fill. ``by=()`` fills over all series at once.
+
+    The split is chosen before duplicates go, on the cheaper frame; dropping rows can
+    only make segments smaller.
+    """
+    parsed = with_parsed_time(df)
+    if cell is None:
+        order = tuple(c for c in ORDER if c not in by)
+        cell = choose_cell(parsed, by, order, max_rows)
+    unique = drop_duplicates(parsed, include_time)
+    return fill_measures(unique, by=by, max_rows=max_rows, cell=cell)

@@ -225,9 +225,11 @@ def chain_forecast(
 
     Weather without a model is persisted, power without a model is 0.
     """
-    categories = category_map(history)
-    frame = training_frame(one_hot(time_features(history, cyclical=False), categories))
+    written = training_frame(time_features(history, cyclical=False))
+    categories = category_map(written)
+    frame = one_hot(written, categories)
     models = train_chain(frame, chain_features(dummy_names(categories)), profile)
+    history = written.select(*history.columns)
     lacking = [c for c in WEATHER if c not in models]
     if lacking:
         future = persistence_weather(history, lacking, entities)
@@ -245,15 +247,18 @@ def lag_forecast(
     entities: str = "all",
     with_history: bool = False,
     by: Sequence[str] = ENTITY,
+    cell: str | None = None,
 ) -> DataFrame:
     """Forecast power from given or persisted weather, then yields.
 
     ``future_weather`` has one row per time of the spine, for all series alike.
     ``by=()`` takes the training lags over all series at once.
     """
-    categories = category_map(history)
-    frame = training_frame(one_hot(history_features(history, by), categories))
+    written = training_frame(history_features(history, by, cell=cell))
+    categories = category_map(written)
+    frame = one_hot(written, categories)
     models = train_chain(frame, lag_features(dummy_names(categories)), profile)
+    history = written.select(*history.columns)
     if future_weather is None:
         future = persistence_weather(history, WEATHER, entities)
     else:
@@ -272,17 +277,18 @@ def _with_yields(future, history, entities) -> DataFrame:
 
 
 def holdout_r2(
-    frame: DataFrame,
-    features: dict[str, list[str]],
-    profile: ForestProfile,
-    folds: int = 5,
+    history: DataFrame, profile: ForestProfile = CHAIN_PROFILE, folds: int = 5
 ) -> DataFrame:
-    """R2 of each target on one fold of five, left out of training by key hash.
+    """R2 of each chain target on one fold, left out of training by key hash.
 
     Stands in for the out-of-bag score, which Spark's forests do not have.
     """
     fold = F.pmod(F.xxhash64(*ORDER), F.lit(folds))
-    marked = training_frame(frame.withColumn("__fold", fold.cast("int")))
+    timed = time_features(history, cyclical=False)
+    written = training_frame(timed.withColumn("__fold", fold.cast("int")))
+    categories = category_map(written)
+    marked = one_hot(written, categories)
+    features = chain_features(dummy_names(categories))
     train, test = marked.where("__fold > 0"), marked.where("__fold = 0")
     models = train_chain(train, features, profile)
     scores = []
@@ -292,10 +298,10 @@ def holdout_r2(
             labelCol="__truth", predictionCol=target, metricName="r2"
         )
         scores.append((target, evaluator.evaluate(model.predict(truth))))
-    table = frame.sparkSession.createDataFrame(
+    table = written.sparkSession.createDataFrame(
         scores, "target string, holdout_r2 double"
     )
-    rows = marked.agg(
+    rows = written.agg(
         F.count_if(F.col("__fold") > 0).alias("train_rows"),
         F.count_if(F.col("__fold") == 0).alias("test_rows"),
     ).first()
