@@ -13,6 +13,8 @@ from heliodrift.operators.columns import existing
 from heliodrift.operators.sequences import lags_and_means
 from heliodrift.schemas import ENTITY, HORIZON, LAGS, POWER, TIME, WEATHER
 
+_PLACE = "__place"
+
 
 def time_features(df: DataFrame, cyclical: bool = True) -> DataFrame:
     parts = calendar_parts()
@@ -48,20 +50,18 @@ def future_features(
         lagged = lags_and_means(future, columns, by, (TIME,), cell="WHOLE")
         return time_features(lagged)
     before = _last_rows_of_each(history, by, max(max(LAGS), HORIZON))
-    both = before.select(*by, TIME, *columns, F.lit(False).alias("__ahead")).unionByName(
-        future.withColumn("__ahead", F.lit(True)), allowMissingColumns=True
+    both = before.select(*by, TIME, *columns, _PLACE).unionByName(
+        future.withColumn(_PLACE, F.lit(1)), allowMissingColumns=True
     )
-    lagged = lags_and_means(both, columns, by, (TIME,), cell="WHOLE")
-    return time_features(lagged.where("__ahead").drop("__ahead"))
+    lagged = lags_and_means(both, columns, by, (TIME, _PLACE), cell="WHOLE")
+    return time_features(lagged.where(F.col(_PLACE) == 1).drop(_PLACE))
 
 
 def _last_rows_of_each(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """The last rows of each series, placed 1 - rows to 0 in their order."""
     # A rank limit: each map task already keeps no more than ``rows`` per series.
     newest = Window.partitionBy(*by).orderBy(
-        F.col(TIME).desc(), F.xxhash64(*df.columns)
-    )
-    return (
-        df.withColumn("__rank", F.row_number().over(newest))
-        .where(F.col("__rank") <= rows)
-        .drop("__rank")
+        F.col(TIME).desc(), F.xxhash64(*df.columns).desc()
     )
+    ranked = df.withColumn(_PLACE, F.row_number().over(newest))
+    return ranked.where(F.col(_PLACE) <= rows).withColumn(_PLACE, 1 - F.col(_PLACE))
