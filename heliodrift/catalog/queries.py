@@ -37,8 +37,8 @@ from heliodrift.operators.profile import (
     first_rows,
     head,
     last_rows,
-    more_than_two_values,
     null_profile,
+    over_two_values,
     power_by_time_of_day,
     stage_counts,
     sum_per_timestamp,
@@ -89,14 +89,15 @@ def _filled_by_source(spark, sf_dir) -> DataFrame:
     return fill_measures(views.combined(spark, sf_dir), cell=views.BY_SOURCE)
 
 
-def _filled_over_all(spark, sf_dir) -> tuple[DataFrame, str]:
+def _filled_over_all(spark, sf_dir, number=None) -> tuple[DataFrame, str]:
     """Filled over one global order, and the split it was filled with.
 
     The weather view has one row per key, so the join adds no rows and the split can
     be chosen on the generation readings alone.
     """
     cell = choose_cell(views.generation(spark, sf_dir), (), ORDER, MAX_SEGMENT_ROWS)
-    return fill_measures(views.combined(spark, sf_dir), by=(), cell=cell), cell
+    combined = views.combined(spark, sf_dir)
+    return fill_measures(combined, by=(), number=number, cell=cell), cell
 
 
 def combine_generation_weather(spark, sf_dir):
@@ -158,12 +159,11 @@ def distinct_over_two(spark, sf_dir):
         {PLANT: F.col(PLANT).cast("double")}
     )
     columns = (PLANT, *MEASURES)
-    over = [c for c, yes in more_than_two_values(table, columns).items() if yes]
-    with_null = [c for c, yes in more_than_two_values(table, columns, True).items() if yes]
+    flags = over_two_values(table, columns)
     return distinct_counts(table, columns).withColumns(
         {
-            "over_two": F.col("column").isin(over),
-            "over_two_with_null": F.col("column").isin(with_null),
+            "over_two": F.col("column").isin([c for c in columns if flags[c][0]]),
+            "over_two_with_null": F.col("column").isin([c for c in columns if flags[c][1]]),
         }
     )
 
@@ -245,16 +245,18 @@ def cyclical_features(spark, sf_dir):
     return _rounded(table, 9, *CYCLICAL_COLUMNS)
 
 
-def _lagged(filled: DataFrame, by, cell: str) -> DataFrame:
+def _lagged(filled: DataFrame, by, cell: str, number=None) -> DataFrame:
     columns = WEATHER + POWER
-    table = lags_and_means(filled, columns, by, null_free=True, cell=cell)
+    table = lags_and_means(
+        filled, columns, by, null_free=True, cell=cell, number=number
+    )
     means = [c for c in lag_mean_names(columns) if "_roll_mean_" in c]
     return _rounded(table.select(*ORDER, *lag_mean_names(columns)), 6, *means)
 
 
 def lag_roll_global(spark, sf_dir):
-    filled, cell = _filled_over_all(spark, sf_dir)
-    return _lagged(filled, (), cell)
+    filled, cell = _filled_over_all(spark, sf_dir, number="row_number")
+    return _lagged(filled, (), cell, number="row_number")
 
 
 def lag_roll_by_source(spark, sf_dir):
@@ -277,6 +279,9 @@ def one_hot_keys(spark, sf_dir):
 
 def standard_scale(spark, sf_dir):
     table = _filled_by_source(spark, sf_dir).withColumns(calendar_parts())
+    # Three passes follow: written once instead of joined and filled three times.
+    shared_folder(spark)
+    table = table.checkpoint()
     columns = scalable_columns(table, [*CALENDAR_COLUMNS, *MEASURES])
     scaled = fit_scaler(table, columns).transform(table)
     return _rounded(scaled.select(*ORDER, *columns), 6, *columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliodrift.operators.columns import numeric_columns
-from heliodrift.operators.profile import more_than_two_values
+from heliodrift.operators.profile import over_two_values
 from heliodrift.schemas import PLANT, SOURCE
 
 PREFIXES = {PLANT: "PLANT", SOURCE: "SOURCE"}
@@ -116,8 +116,8 @@ def scalable_columns(
     chosen = [c for c in columns if c in numeric and not c.startswith(dummies)]
     if skip_cyclical:
         chosen = [c for c in chosen if not c.endswith(("_sin", "_cos"))]
-    varied = more_than_two_values(df, chosen, count_null)
-    return [c for c in chosen if varied[c]]
+    varied = over_two_values(df, chosen)
+    return [c for c in chosen if varied[c][count_null]]
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliodrift.functions.calendar import seconds_between
 from heliodrift.operators.columns import check_columns
 from heliodrift.schemas import ENTITY, MEASURES, ORDER, POWER, TIME, YIELDS
 
@@ -58,37 +59,41 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def more_than_two_values(
-    df: DataFrame, columns: Sequence[str], count_null: bool = False
-) -> dict[str, bool]:
-    """Which columns have more than two distinct values.
+def over_two_values(
+    df: DataFrame, columns: Sequence[str]
+) -> dict[str, tuple[bool, bool]]:
+    """Whether each column has more than two distinct values.
 
-    Exact without counting them: there are more than two if some value lies
-    strictly between the least and the greatest. The driver gets two one-row
-    results. ``count_null`` counts null as a value of its own.
+    The second answer counts null as a value. Exact without counting distinct
+    values: there are more than two if some value lies strictly between the least
+    and the greatest. The driver gets two one-row results.
     """
     if not columns:
         return {}
     ends = df.agg(
         *[F.min(c).alias(f"lo_{c}") for c in columns],
         *[F.max(c).alias(f"hi_{c}") for c in columns],
-        *[F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"gap_{c}") for c in columns],
+        *[F.count_if(F.col(c).isNull()).alias(f"gaps_{c}") for c in columns],
     ).first()
-    answers, open_columns = {}, []
-    for c in columns:
-        low, high = ends[f"lo_{c}"], ends[f"hi_{c}"]
-        answers[c] = bool(count_null and ends[f"gap_{c}"] and low != high)
-        if not answers[c] and low != high:
-            open_columns.append(c)
-    if open_columns:
+    # Null ends (no values) differ from nothing.
+    varied = [c for c in columns if ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+    inside = {}
+    if varied:
         inside = df.agg(
             *[
-                F.bool_or((F.col(c) > ends[f"lo_{c}"]) & (F.col(c) < ends[f"hi_{c}"])).alias(c)
-                for c in open_columns
+                F.bool_or(
+                    (F.col(c) > ends[f"lo_{c}"]) & (F.col(c) < ends[f"hi_{c}"])
+                ).alias(c)
+                for c in varied
             ]
-        ).first()
-        answers.update({c: bool(inside[c]) for c in open_columns})
-    return answers
+        ).first().asDict()
+    return {
+        c: (
+            bool(inside.get(c)),
+            bool(inside.get(c)) or (c in varied and ends[f"gaps_{c}"] > 0),
+        )
+        for c in columns
+    }
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,6 +121,17 @@ def at_latest(df: DataFrame) -> DataFrame:
     return df.where(F.col(TIME) == latest_time(df))
 
 
+def first_at_latest(df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """The first row, in the total order, at the latest timestamp, in one pass."""
+    age = seconds_between(F.lit("2200-01-01").cast("timestamp_ntz"), F.col(TIME))
+    rest = [c for c in order if c != TIME and c in df.columns]
+    position = F.struct(age.alias("age"), *rest, F.xxhash64(*df.columns).alias("__tie"))
+    found = df.where(F.col(TIME).isNotNull()).agg(
+        F.min_by(F.struct(*df.columns), position).alias("__row")
+    )
+    return found.where(F.col("__row").isNotNull()).select("__row.*")
+
+
 def last_rows(
     df: DataFrame, by: Sequence[str] = ENTITY, order: Sequence[str] = ORDER
 ) -> DataFrame:

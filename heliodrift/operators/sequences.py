@@ -90,30 +90,45 @@ def fill(
     direction: str = "forward",
     max_rows: int = MAX_SEGMENT_ROWS,
     cell: str | None = None,
+    number: str | None = None,
+    numbered: Column | None = None,
 ) -> DataFrame:
     """Fill nulls along each series.
 
     ``forward`` takes the last earlier value, then the first value of the series
     for what is left at its start. ``backward`` is the mirror image. Columns
     without nulls come back unchanged, all-null columns stay null.
+
+    ``number`` also names a column for the row number among the rows for which
+    ``numbered`` holds (all by default). It costs no pass of its own here, and
+    :func:`lags_and_means` can go on from it.
     """
-    return drop_work_columns(
-        _filled(lay_out(df, by, order, max_rows, cell), columns, direction)
-    )
+    layout = lay_out(df, by, order, max_rows, cell)
+    return drop_work_columns(_filled(layout, columns, direction, number, numbered))
 
 
-def _filled(layout: Layout, columns: Sequence[str], direction: str) -> DataFrame:
+def _filled(
+    layout: Layout,
+    columns: Sequence[str],
+    direction: str,
+    number: str | None = None,
+    numbered: Column | None = None,
+) -> DataFrame:
     backward = direction == "backward"
     # A frame that ends at the last row is quadratic, so backward runs over the
     # descending order instead.
     here = layout.window(descending=backward).rowsBetween(_FIRST, _HERE)
     near = {c: F.last(c, ignorenulls=True).over(here) for c in columns}
+    rows = F.count(F.lit(1) if numbered is None else F.when(numbered, 1))
+    if number:
+        near[number] = rows.over(layout.window().rowsBetween(_FIRST, _HERE))
     if layout.whole:
         all_rows = layout.window(descending=backward).rowsBetween(_FIRST, _LAST)
-        return layout.frame.withColumns(
-            {c: F.coalesce(near[c], F.first(c, True).over(all_rows)) for c in columns}
-        )
-    aggregates = []
+        for c in columns:
+            near[c] = F.coalesce(near[c], F.first(c, True).over(all_rows))
+        return layout.frame.withColumns(near)
+
+    aggregates = [rows.alias("__rows")] if number else []
     for c in columns:
         seen = F.when(F.col(c).isNotNull(), layout.position)
         aggregates += [
@@ -129,11 +144,15 @@ def _filled(layout: Layout, columns: Sequence[str], direction: str) -> DataFrame
             F.last(f"__{carried}_{c}", True).over(earlier).alias(f"__carry_{c}"),
             F.first(f"__{ends}_{c}", True).over(everything).alias(f"__edge_{c}"),
         ]
+    done = {c: F.coalesce(c, f"__carry_{c}", f"__edge_{c}") for c in columns}
+    if number:
+        before = F.sum("__rows").over(layout.across().rowsBetween(_FIRST, -1))
+        carry.append(F.coalesce(before, F.lit(0)).alias("__before"))
+        done[number] = F.col(number) + F.col("__before")
     table = layout.summary(*aggregates).select(*layout.by, SEGMENT, *carry)
     joined = layout.attach(layout.frame.withColumns(near), table)
-    return joined.withColumns(
-        {c: F.coalesce(c, f"__carry_{c}", f"__edge_{c}") for c in columns}
-    ).drop(*[f"__{kind}_{c}" for c in columns for kind in ("carry", "edge")])
+    spent = [f"__{kind}_{c}" for c in columns for kind in ("carry", "edge")]
+    return joined.withColumns(done).drop("__before", *spent)
 
 
 def lag_name(column: str, rows: int) -> str:
@@ -164,20 +183,27 @@ def lags_and_means(
     null_free: bool = False,
     max_rows: int = MAX_SEGMENT_ROWS,
     cell: str | None = None,
+    number: str | None = None,
 ) -> DataFrame:
     """Add row lags and a trailing mean, then fill them backward, forward, with 0.
 
     Lags count rows of the series, not hours. Rows too early for a lag take the
     first lagged value; a series shorter than the lag gets 0. ``null_free`` states
     that ``columns`` hold no nulls (they were filled before), which settles the
-    backward fill without another pass.
+    backward fill without another pass. ``number`` names a column with the gapless
+    row numbers of each series, as :func:`fill` leaves it; it is used up.
     """
-    layout = lay_out(df, by, order, max_rows, cell)
+    by = tuple(by)
     reach = max([*lags, mean_rows - 1])
-    if layout.whole:
-        frame, parts = _numbered(layout, _NUMBER), tuple(layout.by)
+    if number:
+        frame, whole = df.withColumnRenamed(number, _NUMBER), cell == "WHOLE"
     else:
-        frame, parts = _with_halo(layout, max(max_rows, reach + 1), reach), (GROUP,)
+        layout = lay_out(df, by, order, max_rows, cell)
+        frame, whole = _numbered(layout, _NUMBER), layout.whole
+    parts = by
+    if not whole:
+        frame = _with_halo(frame, by, max(max_rows, reach + 1), reach)
+        parts = (GROUP,)
     window = Window.partitionBy(*parts).orderBy(_NUMBER)
     trailing, all_rows = window.rowsBetween(1 - mean_rows, _HERE), window.rowsBetween(_FIRST, _LAST)
 
@@ -194,18 +220,19 @@ def lags_and_means(
             added[lag_name(c, n)] = lagged
         added[mean_name(c, mean_rows)] = F.avg(c).over(trailing)
     frame = frame.withColumns(added)
-    if not layout.whole:
+    if not whole:
         frame = frame.where("__own").drop("__own")
     if not null_free:
-        placed = Layout(frame, layout.by, (_NUMBER,), layout.cell)
+        placed = Layout(frame, by, (_NUMBER,), "WHOLE" if whole else "BUCKET")
         frame = _filled(placed, list(added), "backward")
         frame = frame.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in added})
     return drop_work_columns(frame.drop(_NUMBER))
 
 
-def _with_halo(layout: Layout, bucket_rows: int, reach: int) -> DataFrame:
+def _with_halo(
+    numbered: DataFrame, by: tuple[str, ...], bucket_rows: int, reach: int
+) -> DataFrame:
     """Equal buckets by row number, each with the last ``reach`` rows before it."""
-    numbered = _numbered(layout, _NUMBER)
     bucket = F.expr(f"({_NUMBER} - 1) div {bucket_rows}")
     offset = F.expr(f"({_NUMBER} - 1) % {bucket_rows}")
     wanted = F.when(
@@ -214,5 +241,5 @@ def _with_halo(layout: Layout, bucket_rows: int, reach: int) -> DataFrame:
     return (
         numbered.withColumn(SEGMENT, F.explode(wanted))
         .withColumn("__own", F.col(SEGMENT) == bucket)
-        .withColumn(GROUP, F.struct(*layout.by, SEGMENT))
+        .withColumn(GROUP, F.struct(*by, SEGMENT))
     )

@@ -27,16 +27,19 @@ def fill_measures(
     columns: Sequence[str] = MEASURES,
     by: Sequence[str] = ENTITY,
     order: Sequence[str] = ORDER,
+    number: str | None = None,
     **layout,
 ) -> DataFrame:
     """Fill, make numeric, then 0 - in that order.
 
     So text that is no number becomes 0, not its neighbour's value. Rows without a
     plant or source are dropped last: with ``by=()`` they still lend their values.
+    ``number`` names a column for the row numbers of the rows that stay.
     """
     columns = check_columns(df, columns, strict=False)
     text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
-    filled = fill(df, columns, by, order, **layout)
+    stays = F.col(ENTITY[0]).isNotNull() & F.col(ENTITY[1]).isNotNull()
+    filled = fill(df, columns, by, order, number=number, numbered=stays, **layout)
     numbers = {
         c: F.coalesce(lenient_number(c) if c in text else F.col(c), F.lit(0.0))
         for c in columns

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliodrift.operators.nearest import persist_last, persist_nearest
-from heliodrift.operators.profile import at_latest, first_rows
+from heliodrift.operators.profile import first_at_latest
 from heliodrift.operators.yields import add_yields
 from heliodrift.schemas import (
     DAILY_FORECAST,
@@ -61,7 +61,7 @@ def continue_yields(
     """
     daily = F.col("last_DAILY_YIELD")
     if entities == "last":
-        daily = first_rows(at_latest(history), ()).select("DAILY_YIELD").scalar()
+        daily = first_at_latest(history).select("DAILY_YIELD").scalar()
     return add_yields(
         forecast, F.col("last_TOTAL_YIELD"), daily, F.col(f"last_{TIME}")
     )

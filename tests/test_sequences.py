@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from helpers import combined_rows, to_spark
 
 from heliodrift.operators.layout import CELLS, choose_cell, lay_out
@@ -111,6 +112,31 @@ def test_lags_of_filled_columns(spark, by, cell):
     check(result, per_series(table, by, with_lags), lag_mean_names(WEATHER))
 
 
+@pytest.mark.parametrize("by,cell", LAYOUTS)
+def test_fill_then_lags_on_its_numbers(frame, table, by, cell):
+    """Rows without keys lend values, then go; the lags only see those that stay."""
+    keyless = F.col("DAILY_YIELD") % 7 == 3
+    holed = frame.withColumn("PLANT_ID", F.when(~keyless, F.col("PLANT_ID")))
+    options = {"max_rows": 50, "cell": cell}
+    filled = fill_measures(holed, WEATHER, by, TIED, number="n", **options)
+    result = lags_and_means(filled, WEATHER, by, null_free=True, number="n", **options)
+    gone = table["DAILY_YIELD"] % 7 == 3
+    holes = table.assign(PLANT_ID=table["PLANT_ID"].where(~gone))
+    # Keyless rows form series of their own, or lend to all when there is one.
+    holes = holes.sort_values(list(TIED), na_position="first").reset_index(drop=True)
+
+    def expected(t):
+        done = t.assign(**t[list(WEATHER)].ffill().bfill().fillna(0))
+        return done.dropna(subset=["PLANT_ID"])
+
+    if by:
+        kept = holes.dropna(subset=["PLANT_ID"])
+        kept = per_series(kept, by, lambda t: with_lags(expected(t)))
+    else:
+        kept = with_lags(expected(holes))
+    check(result, kept.sort_values(list(TIED)).reset_index(drop=True), lag_mean_names(WEATHER))
+
+
 def test_exactly_as_many_rows_as_the_lag(spark):
     table = combined_rows(96, seed=2, gaps=0)
     for null_free in (True, False):

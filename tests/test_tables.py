@@ -32,8 +32,9 @@ from heliodrift.operators.profile import (
     distinct_counts,
     first_rows,
     head,
+    first_at_latest,
     last_rows,
-    more_than_two_values,
+    over_two_values,
     sum_per_timestamp,
     tail,
 )
@@ -117,6 +118,8 @@ def test_first_and_last_rows(spark):
     found = {(r["PLANT_ID"], r["SOURCE_KEY"]): r["DATE_TIME"] for r in last_rows(df).collect()}
     assert found == expected.to_dict()
     assert first_rows(df, ()).first()["DATE_TIME"] == table["DATE_TIME"].min()
+    assert first_at_latest(df).first() == first_rows(at_latest(df), ()).first()
+    assert first_at_latest(df.where("false")).isEmpty()
     nothing = spark.createDataFrame([], COMBINED_SCHEMA)
     assert last_rows(nothing, ()).isEmpty() and at_latest(nothing).isEmpty()
     assert [r["DATE_TIME"] for r in head(df, 5).collect()] == list(table["DATE_TIME"][:5])
@@ -129,8 +132,9 @@ def test_more_than_two_values(spark):
         "three double, two double, one double, none double",
     )
     names = df.columns
-    assert more_than_two_values(df, names) == {"three": True, "two": False, "one": False, "none": False}
-    assert more_than_two_values(df, names, count_null=True)["two"] is True
+    assert over_two_values(df, names) == {
+        "three": (True, True), "two": (False, True), "one": (False, False), "none": (False, False),
+    }
     counts = {r["column"]: (r["distinct_values"], r["distinct_with_null"]) for r in distinct_counts(df, names).collect()}
     assert counts == {"three": (3, 3), "two": (2, 3), "one": (1, 1), "none": (0, 1)}
 
