@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliodrift.operators.combine import join_weather
 from heliodrift.operators.sequences import running_total
@@ -25,8 +26,21 @@ _LIFETIME_SEED = 1_000_000.0
 BY_SOURCE = "WHOLE"
 
 
+# Given, so that no job reads a footer to infer it.
+_EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(_EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def _bin() -> Column:

@@ -14,8 +14,8 @@ from heliodrift.schemas import MEASURES
 QUARTILES = (0.25, 0.5, 0.75)
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
-# Values one task may hold to rank them.
-MAX_RANKED_VALUES = 1_000_000
+# Values of a column that one task may hold to rank them.
+MAX_RANKED_VALUES = 200_000
 _SKETCH_ACCURACY = 10_000
 
 
@@ -31,7 +31,7 @@ def describe(
     narrowing (see :func:`exact_quantiles`) and set into the one-pass aggregates.
     """
     columns = check_columns(df, columns, strict=False)
-    if df.limit(max_ranked + 1).count() <= max_ranked:
+    if df.count() <= max_ranked:
         quartiles = {
             c: F.percentile(c, F.array(*map(F.lit, QUARTILES))) for c in columns
         }

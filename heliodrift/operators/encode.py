@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +79,42 @@ def sparse_one_hot(columns: Sequence[str] = tuple(PREFIXES)) -> Pipeline:
             ),
             OneHotEncoder(
                 inputCols=indexed,
-                outputCols=[f"{PREFIXES.get(c, c)}_vector" for c in columns],
+                outputCols=[vector_name(c) for c in columns],
                 dropLast=True,
             ),
         ]
     )
 
 
+def vector_name(column: str) -> str:
+    return f"{PREFIXES.get(column, column)}_vector"
+
+
+@dataclass(frozen=True)
+class EntityEncoder:
+    """Plant and source as features: a column per value, or a sparse vector each."""
+
+    names: tuple[str, ...]
+    categories: dict[str, list[str]] | None
+    vectors: PipelineModel | None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.vectors is None:
+            return one_hot(df, self.categories)
+        encoded = self.vectors.transform(df)
+        return encoded.drop(*[f"{c}_index" for c in PREFIXES])
+
+
+def fit_entity_encoder(df: DataFrame, max_values: int = MAX_DUMMIES) -> EntityEncoder:
+    """Dummies while they are few enough to be columns, else sparse vectors."""
+    try:
+        categories = category_map(df, max_values=max_values)
+    except TooManyValues:
+        vectors = sparse_one_hot().fit(df.select(*PREFIXES))
+        return EntityEncoder(tuple(map(vector_name, PREFIXES)), None, vectors)
+    return EntityEncoder(tuple(dummy_names(categories)), categories, None)
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Means and population deviations, reused as literals at forecast time."""

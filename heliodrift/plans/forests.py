@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from heliodrift.functions.calendar import CALENDAR_COLUMNS, CYCLICAL_COLUMNS
 from heliodrift.functions.measures import INTERACTION, clamp_at_zero
-from heliodrift.operators.columns import add_missing, existing, has_at_least
+from heliodrift.operators.columns import (
+    add_missing,
+    existing,
+    has_at_least,
+    numeric_columns,
+)
 from heliodrift.operators.encode import (
+    MAX_DUMMIES,
     Scaler,
-    category_map,
-    dummy_names,
+    fit_entity_encoder,
     fit_scaler,
-    one_hot,
     scalable_columns,
 )
 from heliodrift.operators.sequences import lag_mean_names
@@ -99,11 +103,12 @@ class TargetModel:
 
 def _assembled(df: DataFrame, features: Sequence[str], scaler: Scaler) -> DataFrame:
     """Scaled copies of the features in one vector; the columns stay as they are."""
+    numbers = set(numeric_columns(df))
     scaled = {
         f"__x_{c}": (F.col(c) - F.lit(scaler.means[c]))
         / F.lit(scaler.deviations[c] or 1.0)
         if c in scaler.means
-        else F.col(c).cast("double")
+        else F.col(c).cast("double") if c in numbers else F.col(c)
         for c in features
     }
     return VectorAssembler(inputCols=list(scaled), outputCol=_VECTOR).transform(
@@ -120,7 +125,8 @@ def training_frame(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartition(parts, *ORDER).sortWithinPartitions(
+    # By content, so that a key held by a large share of the rows still spreads.
+    placed = df.repartition(parts, *df.columns).sortWithinPartitions(
         *ORDER, F.xxhash64(*df.columns)
     )
     return placed.checkpoint()
@@ -220,22 +226,23 @@ def chain_forecast(
     profile: ForestProfile = CHAIN_PROFILE,
     entities: str = "all",
     targets: Sequence[str] = DEPENDENCY_ORDER,
+    max_dummies: int = MAX_DUMMIES,
 ) -> DataFrame:
     """Forecast weather, then power, then yields, of a clean history.
 
     Weather without a model is persisted, power without a model is 0.
     """
     written = training_frame(time_features(history, cyclical=False))
-    categories = category_map(written)
-    frame = one_hot(written, categories)
-    models = train_chain(frame, chain_features(dummy_names(categories)), profile)
+    encoder = fit_entity_encoder(written, max_dummies)
+    frame = encoder.transform(written)
+    models = train_chain(frame, chain_features(encoder.names), profile)
     history = written.select(*history.columns)
     lacking = [c for c in WEATHER if c not in models]
     if lacking:
         future = persistence_weather(history, lacking, entities)
     else:
         future = entity_spine(history, ENTITY, entities)
-    future = one_hot(time_features(future, cyclical=False), categories)
+    future = encoder.transform(time_features(future, cyclical=False))
     wanted = [t for t in targets if t not in lacking]
     return _with_yields(predict_chain(future, models, wanted), history, entities)
 
@@ -255,20 +262,17 @@ def lag_forecast(
     ``by=()`` takes the training lags over all series at once.
     """
     written = training_frame(history_features(history, by, cell=cell))
-    categories = category_map(written)
-    frame = one_hot(written, categories)
-    models = train_chain(frame, lag_features(dummy_names(categories)), profile)
+    encoder = fit_entity_encoder(written)
+    frame = encoder.transform(written)
+    models = train_chain(frame, lag_features(encoder.names), profile)
     history = written.select(*history.columns)
     if future_weather is None:
         future = persistence_weather(history, WEATHER, entities)
     else:
         spine = entity_spine(history, ENTITY, entities)
-        # At most one row per step of the horizon.
-        future = spine.join(
-            F.broadcast(future_weather.select(TIME, *WEATHER)), TIME, "left"
-        )
+        future = spine.join(future_weather.select(TIME, *WEATHER), TIME, "left")
     lagged = future_features(future, history=history if with_history else None)
-    ready = one_hot(lagged, categories)
+    ready = encoder.transform(lagged)
     return _with_yields(predict_chain(ready, models, POWER), history, entities)
 
 
@@ -286,9 +290,9 @@ def holdout_r2(
     fold = F.pmod(F.xxhash64(*ORDER), F.lit(folds))
     timed = time_features(history, cyclical=False)
     written = training_frame(timed.withColumn("__fold", fold.cast("int")))
-    categories = category_map(written)
-    marked = one_hot(written, categories)
-    features = chain_features(dummy_names(categories))
+    encoder = fit_entity_encoder(written)
+    marked = encoder.transform(written)
+    features = chain_features(encoder.names)
     train, test = marked.where("__fold > 0"), marked.where("__fold = 0")
     models = train_chain(train, features, profile)
     scores = []

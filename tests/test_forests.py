@@ -67,6 +67,12 @@ def test_chain_forecast_follows_the_sun_and_repeats(history):
     assert first == again
 
 
+def test_sparse_encoding_forecasts_too(history):
+    rows = check(chain_forecast(history, SMALL, max_dummies=1))
+    noon = {r["PLANT_ID"]: r["DC_POWER"] for r in rows if r["DATE_TIME"].hour == 12}
+    assert noon[2] > noon[1] + 300
+
+
 def test_listed_order_sees_no_irradiation_for_the_module(history):
     frame = training_frame(time_features(history, cyclical=False))
     models = train_chain(frame, chain_features(()), SMALL)
