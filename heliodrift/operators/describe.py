@@ -123,15 +123,21 @@ def _inside(column: str, low: float | None, high: float | None) -> Column:
 def _rank_directly(df, states) -> dict[tuple[str, int], float]:
     if not states:
         return {}
+    # Ranks of one column share their interval, and the list of its values.
+    spans = list(dict.fromkeys((c, s[0], s[1]) for (c, _), s in states.items()))
+    number = {span: i for i, span in enumerate(spans)}
     row = df.agg(
         *[
-            F.sort_array(F.collect_list(_inside(c, low, high)))[rank - below].alias(
-                f"v{i}"
-            )
-            for i, ((c, rank), (low, high, below, _)) in enumerate(states.items())
+            F.sort_array(F.collect_list(_inside(*span))).alias(f"v{i}")
+            for span, i in number.items()
+        ]
+    ).select(
+        *[
+            F.col(f"v{number[c, s[0], s[1]]}")[rank - s[2]].alias(f"r{i}")
+            for i, ((c, rank), s) in enumerate(states.items())
         ]
     ).first()
-    return {key: row[f"v{i}"] for i, key in enumerate(states)}
+    return {key: row[f"r{i}"] for i, key in enumerate(states)}
 
 
 def _narrow(df, states, found) -> dict:
@@ -142,20 +148,10 @@ def _narrow(df, states, found) -> dict:
     """
     if not states:
         return {}
-    sketches = []
-    for i, ((c, rank), (low, high, below, inside)) in enumerate(states.items()):
-        share = (rank - below) / max(inside - 1, 1)
-        slack = 2.0 / _SKETCH_ACCURACY
-        around = [max(0.0, share - slack), min(1.0, share + slack)]
-        sketches.append(
-            F.percentile_approx(_inside(c, low, high), around, _SKETCH_ACCURACY).alias(
-                f"b{i}"
-            )
-        )
-    bounds = df.agg(*sketches).first()
+    bounds = _sketched_bounds(df, states)
+    pairs = list(dict.fromkeys((key[0], *bounds[key]) for key in states))
     counts = []
-    for i, (c, _) in enumerate(states):
-        a, b = bounds[f"b{i}"]
+    for i, (c, a, b) in enumerate(pairs):
         counts += [
             F.count_if(F.col(c) < F.lit(a)).alias(f"below{i}"),
             F.count_if(F.col(c) == F.lit(a)).alias(f"low{i}"),
@@ -164,9 +160,10 @@ def _narrow(df, states, found) -> dict:
         ]
     counted = df.agg(*counts).first()
     remaining = {}
-    for i, (key, (low, high, below, inside)) in enumerate(states.items()):
-        rank = key[1]
-        a, b = bounds[f"b{i}"]
+    for key, (low, high, below, inside) in states.items():
+        c, rank = key
+        a, b = bounds[key]
+        i = pairs.index((c, a, b))
         to_a = counted[f"below{i}"]
         past_a = to_a + counted[f"low{i}"]
         to_b = past_a + counted[f"inside{i}"]
@@ -182,3 +179,31 @@ def _narrow(df, states, found) -> dict:
         else:
             remaining[key] = (b, high, past_b, below + inside - past_b)
     return remaining
+
+
+def _sketched_bounds(df, states) -> dict[tuple[str, int], tuple[float, float]]:
+    """Two values around each rank, from one sketch per column and interval."""
+    slack = 2.0 / _SKETCH_ACCURACY
+    spans = {}
+    for (c, rank), (low, high, below, inside) in states.items():
+        share = (rank - below) / max(inside - 1, 1)
+        spans.setdefault((c, low, high), {})[c, rank] = (
+            max(0.0, share - slack),
+            min(1.0, share + slack),
+        )
+    row = df.agg(
+        *[
+            F.percentile_approx(
+                _inside(*span),
+                [share for pair in around.values() for share in pair],
+                _SKETCH_ACCURACY,
+            ).alias(f"b{i}")
+            for i, (span, around) in enumerate(spans.items())
+        ]
+    ).first()
+    bounds = {}
+    for i, around in enumerate(spans.values()):
+        values = row[f"b{i}"]
+        for j, key in enumerate(around):
+            bounds[key] = (values[2 * j], values[2 * j + 1])
+    return bounds

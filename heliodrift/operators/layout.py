@@ -35,9 +35,10 @@ TIE = "__tie"
 ROW = "__row"
 WORK_COLUMNS = (SEGMENT, GROUP, TIE, ROW)
 
-# About what one task sorts comfortably for a dozen narrow columns.
-MAX_SEGMENT_ROWS = 4_000_000
+# About 100 MB of a dozen narrow columns: comfortable for one task to sort.
+MAX_SEGMENT_ROWS = 1_000_000
 CELLS = ("WHOLE", "DAY", "HOUR", "MINUTE")
+_NO_TIME = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ class Layout:
     def attach(self, frame: DataFrame, summary: DataFrame) -> DataFrame:
         """Join per-segment values back.
 
-        The key is one struct, the same the windows partition by, so the big side
+        The key is one column, the same the windows partition by, so the big side
         is already placed; fields that are null compare equal inside a struct.
         """
         keyed = summary.withColumn(GROUP, _group(self.by)).drop(*self.by, SEGMENT)
@@ -126,7 +127,10 @@ def choose_cell(
 
 
 def cell_number(cell: str, time: str = TIME) -> Column:
-    """A whole number that grows with time, without the session time zone."""
+    """A whole number that grows with time, without the session time zone.
+
+    Rows without a time come first, as they do in the total order.
+    """
     if cell == "WHOLE":
         return F.lit(0).cast("bigint")
     number = F.unix_date(F.to_date(time)).cast("bigint")
@@ -134,7 +138,7 @@ def cell_number(cell: str, time: str = TIME) -> Column:
         number = number * 24 + F.hour(time)
     if cell == "MINUTE":
         number = number * 60 + F.minute(time)
-    return number
+    return F.coalesce(number, F.lit(_NO_TIME).cast("bigint"))
 
 
 def drop_work_columns(df: DataFrame) -> DataFrame:
@@ -142,7 +146,7 @@ def drop_work_columns(df: DataFrame) -> DataFrame:
 
 
 def _group(by: Sequence[str]) -> Column:
-    return F.struct(*by, SEGMENT)
+    return F.struct(*by, SEGMENT) if by else F.col(SEGMENT)
 
 
 def _range_layout(

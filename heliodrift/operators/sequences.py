@@ -19,6 +19,8 @@ from heliodrift.schemas import ENTITY, LAGS, MEAN_ROWS, ORDER
 
 _FIRST, _LAST, _HERE = Window.unboundedPreceding, Window.unboundedFollowing, 0
 _NUMBER = "__number"
+# Lag buckets are cut by row number, so they may be small; the halo is a few rows.
+BUCKET_ROWS = 200_000
 
 
 def row_numbers(
@@ -202,7 +204,8 @@ def lags_and_means(
         frame, whole = _numbered(layout, _NUMBER), layout.whole
     parts = by
     if not whole:
-        frame = _with_halo(frame, by, max(max_rows, reach + 1), reach)
+        rows = max(min(max_rows, BUCKET_ROWS), reach + 1)
+        frame = _with_halo(frame, by, rows, reach)
         parts = (GROUP,)
     window = Window.partitionBy(*parts).orderBy(_NUMBER)
     trailing, all_rows = window.rowsBetween(1 - mean_rows, _HERE), window.rowsBetween(_FIRST, _LAST)
@@ -241,5 +244,5 @@ def _with_halo(
     return (
         numbered.withColumn(SEGMENT, F.explode(wanted))
         .withColumn("__own", F.col(SEGMENT) == bucket)
-        .withColumn(GROUP, F.struct(*by, SEGMENT))
+        .withColumn(GROUP, F.struct(*by, SEGMENT) if by else F.col(SEGMENT))
     )
