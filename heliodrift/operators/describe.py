@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +113,17 @@ def _select_ranks(df, wanted, totals, max_ranked) -> dict[tuple[str, int], float
     return found
 
 
-def _inside(column: str, low: float | None, high: float | None) -> Column:
+def _is_inside(column: str, low: float | None, high: float | None) -> Column:
     value, test = F.col(column), F.lit(True)
     if low is not None:
         test = test & (value > F.lit(low))
     if high is not None:
         test = test & (value < F.lit(high))
-    return F.when(test, value)
+    return test
+
+
+def _inside(column: str, low: float | None, high: float | None) -> Column:
+    return F.when(_is_inside(column, low, high), F.col(column))
 
 
 def _rank_directly(df, states) -> dict[tuple[str, int], float]:
@@ -126,7 +132,9 @@ def _rank_directly(df, states) -> dict[tuple[str, int], float]:
     # Ranks of one column share their interval, and the list of its values.
     spans = list(dict.fromkeys((c, s[0], s[1]) for (c, _), s in states.items()))
     number = {span: i for i, span in enumerate(spans)}
-    row = df.agg(
+    # Few rows are inside any interval; the others must not reach the lists.
+    wanted = reduce(or_, [_is_inside(*span) for span in spans])
+    row = df.where(wanted).agg(
         *[
             F.sort_array(F.collect_list(_inside(*span))).alias(f"v{i}")
             for span, i in number.items()
