@@ -40,6 +40,7 @@ from heliodrift.session import shared_folder
 # Predictions of these are clamped at 0; temperatures are not.
 NON_NEGATIVE = ("IRRADIATION", *POWER)
 _VECTOR = "__features"
+_MIN_TASK_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,9 @@ def training_frame(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_folder(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Each task of a fit holds split statistics, so tiny partitions only cost.
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, -(-df.count() // _MIN_TASK_ROWS)))
     # By content, so that a key held by a large share of the rows still spreads.
     placed = df.repartition(parts, *df.columns).sortWithinPartitions(
         *ORDER, F.xxhash64(*df.columns)
