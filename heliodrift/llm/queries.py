@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliodrift.llm import bpe, minhash, pii, quality, toxicity
+from heliodrift.llm import bpe, decontamination, minhash, pii, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    found = decontamination.contaminated(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "item_id", "first_word", "similarity")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.span_digests(_table(spark, sf_dir, "documents"))
@@ -49,6 +57,7 @@ def op10_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_benchmark_passages": op5_benchmark_passages,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_quality": op9_quality,
@@ -57,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": minhash.SQL,
+    "op5_benchmark_passages": decontamination.SQL,
 }
