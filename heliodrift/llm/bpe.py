@@ -16,53 +16,72 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliodrift.llm.batches import text_slices
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Distinct pieces whose ids a worker remembers.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 #: What ``\s`` stands for in the tokenizers' patterns.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class _Pieces(dict):
+    """Ids of pieces, encoded when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self._merges = tiktoken.Encoding(
+            "ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}
+        )
+        self._shared = {rank: rank for rank in ranks.values()}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(map(self._shared.__getitem__, self._merges.encode_ordinary(piece)))
+        if len(piece) <= 64:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Vocabulary:
-    """Ranks of a rank file, the pattern that splits texts, and the ids of pieces seen."""
+    """Ranks of a rank file, the pattern that splits texts, and the bytes of the ids."""
 
     def __init__(self, lines: bytes, pattern: str) -> None:
         pairs = (line.split() for line in lines.splitlines() if line)
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self._merges = tiktoken.Encoding(
-            "ranks", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}
-        )
+        ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ids = _Pieces(ranks)
+        by_rank = {rank: token for token, rank in ranks.items()}
+        self.tokens = pa.array([by_rank.get(k, b"") for k in range(max(by_rank) + 1)], pa.binary())
         inner = pattern.replace(r"[^\s", "[^" + WHITE_SPACE)
         inner = inner.replace(r"\S", "[^" + WHITE_SPACE + "]")
         self.split = regex.compile(inner.replace(r"\s", "[" + WHITE_SPACE + "]"))
-        self._seen: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, piece: str) -> tuple[int, ...]:
-        found = self._seen.get(piece)
-        if found is None:
-            if len(self._seen) >= CACHED_PIECES:
-                self._seen.clear()
-            found = tuple(self._merges.encode_ordinary(piece))
-            if len(piece) <= 64:
-                self._seen[piece] = found
-        return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, pieces)), np.int32)
+
+    def decode(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The joined bytes of each row's ids, which lie side by side once all are looked up."""
+        flat = self.tokens.take(ids.flatten())
+        offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+        rows = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        ends = offsets[rows] if len(flat) else np.zeros(len(rows), np.int32)
+        data = flat.buffers()[2] or pa.py_buffer(b"")
+        return pa.BinaryArray.from_buffers(
+            pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data]
+        )
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,19 +89,22 @@ def _vocabulary(lines: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(lines, pattern)
 
 
-def bounds(split: regex.Pattern, text: str) -> list[int]:
+def bounds(split: regex.Pattern, text: str) -> np.ndarray:
     """Places where pre-tokens begin, and the end of the text."""
-    found = [m.start() for m in split.finditer(text)]
-    return [*found, len(text)]
+    pieces = split.findall(text)
+    marks = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))))
+    if marks[-1] != len(text):  # the pattern skips some signs
+        marks = np.array([*(m.start() for m in split.finditer(text)), len(text)])
+    return marks.astype(np.int32)
 
 
-def joint(left: list[int], right: list[int], shift: int) -> int | None:
+def joint(left: np.ndarray, right: np.ndarray, shift: int) -> int | None:
     """The first place, counted in the left chunk, at which both chunks have a boundary.
 
     ``shift`` is where the right chunk begins in the left one.
     """
-    theirs = {x + shift for x in right[:-1]}
-    return next((x for x in left[:-1] if x >= shift and x in theirs), None)
+    places = left[:-1][np.isin(left[:-1], right[:-1] + shift)]
+    return int(places[0]) if len(places) else None
 
 
 def cut(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -96,29 +118,36 @@ def cut(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         start = end - overlap
 
 
-def split_document(vocabulary: Vocabulary, chunks: list[tuple[int, str, list[int]]]) -> Iterator[str]:
+def stitched(split: regex.Pattern, chunks: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[list[str]]:
     """Pieces of a text from its chunks: (start in the text, chunk, boundaries in the chunk)."""
-    start, text, marks = chunks[0]
-    begin = 0
-    for next_start, next_text, next_marks in chunks[1:]:
+    start, text, marks = next(chunks)
+    for next_start, next_text, next_marks in chunks:
         shift = next_start - start
-        place = joint([x for x in marks if x >= begin], next_marks, shift)
+        place = joint(marks[marks >= shift], next_marks, shift)
         if place is None:
             # Split again from the last boundary that does not depend on the chunk's end.
-            safe = max((x for x in marks[:-1] if x >= begin), default=begin)
-            yield from _between(text, [x for x in marks if begin <= x <= safe])
-            text = text[safe:shift] + next_text if shift > safe else next_text[safe - shift :]
-            start, begin = start + safe, 0
-            marks = bounds(vocabulary.split, text)
+            place = int(marks[-2])
+            yield _between(split, text, marks[marks <= place])
+            text = text[place:shift] + next_text if shift > place else next_text[place - shift :]
+            start += place
+            marks = bounds(split, text)
         else:
-            yield from _between(text, [x for x in marks if begin <= x <= place])
-            start, text, marks, begin = next_start, next_text, next_marks, place - shift
-    yield from _between(text, [x for x in marks if x >= begin])
+            yield _between(split, text, marks[marks <= place])
+            start, text, marks = next_start, next_text, next_marks[next_marks >= place - shift]
+    yield _between(split, text, marks)
+
+
+def _between(split: regex.Pattern, text: str, marks: np.ndarray) -> list[str]:
+    """The pieces from one mark to the next, without what the pattern skips."""
+    places = marks.tolist()
+    pieces = [text[a:b] for a, b in zip(places, places[1:], strict=False)]
+    return [m[0] for x in pieces if (m := split.match(x))] if _skips(split) else pieces
 
 
-def _between(text: str, marks: list[int]) -> Iterator[str]:
-    for a, b in zip(marks, marks[1:], strict=False):
-        yield text[a:b]
+@functools.lru_cache(maxsize=4)
+def _skips(split: regex.Pattern) -> bool:
+    """Whether some sign starts no pre-token; those of all kinds do in byte-level patterns."""
+    return any(split.match(sign) is None for sign in ("a", "1", ".", " ", "\n", "\u00e9", "\x00"))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,9 +164,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
         words = _vocabulary(lines.value, pattern)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = []
-                for x in part.column(1).to_pylist():
-                    ids.append([i for piece in words.split.findall(x) for i in words.ids(piece)])
+                ids = [words.encode(words.split.findall(x)) for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +186,23 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(lines.value, pattern)
         for batch in batches:
-            marks = [bounds(words.split, x) for x in batch.column(3).to_pylist()]
-            yield batch.append_column("marks", pa.array(marks, pa.list_(pa.int32())))
+            for part in text_slices(batch, "chunk"):
+                marks = [bounds(words.split, x) for x in part.column(3).to_pylist()]
+                yield part.append_column("marks", pa.array(marks, pa.list_(pa.int32())))
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(lines.value, pattern)
         for batch in batches:
-            for row in batch.to_pylist():
-                chunks = sorted((c["start"], c["chunk"], c["marks"]) for c in row["chunks"])
-                ids = [i for piece in split_document(words, chunks) for i in words.ids(piece)]
+            for row in range(batch.num_rows):
+                parts = batch.column(1)[row].values
+                starts = parts.field("start").to_numpy()
+                chunks = (
+                    (int(starts[k]), parts.field("chunk")[int(k)].as_py(), parts.field("marks")[int(k)].values.to_numpy())
+                    for k in np.argsort(starts)
+                )
+                ids = np.concatenate([words.encode(x) for x in stitched(words.split, chunks)])
                 yield pa.record_batch(
-                    [pa.array([row["key"]], batch.column(0).type), pa.array([ids], pa.list_(pa.int32()))],
-                    ["key", "ids"],
+                    [batch.column(0).slice(row, 1), pa.array([ids], pa.list_(pa.int32()))], ["key", "ids"]
                 )
 
     result = f"key {kind}, ids array<int>"
@@ -187,39 +219,39 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     rows = split.groupBy("row").agg(
         F.first("key").alias("key"), F.collect_list(F.struct("start", "chunk", "marks")).alias("chunks")
     )
-    stitched = rows.select("key", "chunks").mapInArrow(stitch, result)
-    return short.unionByName(stitched).withColumnRenamed("key", key)
+    long_ids = rows.select("key", "chunks").mapInArrow(stitch, result)
+    return short.unionByName(long_ids).withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the joined bytes of ``ids``; null ids decode to no bytes."""
     lines = tokens.sparkSession.sparkContext.broadcast(_read(ranks))
 
-    @F.pandas_udf("binary")
-    def joined(column):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(lines.value, pattern)
-        return column.map(lambda x: b"" if x is None else words.decode(x.tolist()))
+        for batch in batches:
+            lists = batch.column(ids)
+            sizes = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # a bounded number of ids at a time
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000, "right")))
+                part = batch.slice(at, end - at)
+                yield part.append_column("decoded", words.decode(part.column(ids)))
+                at = end
 
-    return tokens.withColumn("decoded", joined(ids))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Number of ids, digest of the ids and digest of the decoded bytes of every document."""
     out = decode(encode(docs, ranks, pattern), ranks, pattern)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in batch.column(1).to_pylist()]
-            raw = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            size = pc.list_value_length(batch.column(1)).cast(pa.int64())
-            yield pa.record_batch(
-                [batch.column(0), size, pa.array(ids), pa.array(raw)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return out.mapInArrow(digest, schema)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def _read(path: str) -> bytes:
