@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heliodrift.llm import bpe, decontamination, minhash, pii, quality, toxicity
+from heliodrift.llm import bpe, decontamination, main_text, minhash, pii, quality, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items."""
     found = decontamination.contaminated(
@@ -57,6 +62,7 @@ def op10_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_main_text": op4_main_text,
     "op5_benchmark_passages": op5_benchmark_passages,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity_chain": op8_toxicity_chain,
