@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heliodrift.llm import bpe, decontamination, main_text, minhash, pii, quality, toxicity
+from heliodrift.llm import bpe, decontamination, main_text, minhash, pii, quality, topk, toxicity
+from heliodrift.llm.tables import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -34,6 +36,13 @@ def op5_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_word", "similarity")
 
 
+def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for each vector whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 100 == 0)
+    return topk.search(stored(topk.build_index(vectors)), queries)
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.span_digests(_table(spark, sf_dir, "documents"))
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_main_text": op4_main_text,
     "op5_benchmark_passages": op5_benchmark_passages,
+    "op6_top_inner_products": op6_top_inner_products,
     "op7_personal_data": op7_personal_data,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_quality": op9_quality,
@@ -73,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": minhash.SQL,
     "op5_benchmark_passages": decontamination.SQL,
+    "op6_top_inner_products": topk.SQL,
 }
