@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodrift.llm import bpe, decontamination, main_text, minhash, pii, quality, topk, toxicity
+from heliodrift.llm import bpe, decontamination, language, main_text, minhash, pii, quality, topk, toxicity
 from heliodrift.llm.tables import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; its source is the host."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.languages(docs, host=docs["source"]).drop("mark")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ def op10_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_main_text": op4_main_text,
     "op5_benchmark_passages": op5_benchmark_passages,
