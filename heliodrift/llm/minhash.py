@@ -41,6 +41,7 @@ SKETCH_BITS = 64
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
 _SKETCH = ("s0", "s1", "s2", "s3")
+_NUMBERS = ("id", "mark", "n_shingles", "print1", "print2", *_SKETCH)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -96,13 +97,14 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         sizes = np.array([len(x) for x in sets], np.int64)
         prints = [np.array([mix(x, k).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for k in (1, 2)]
         bands = [list(b) if n else [] for b, n in zip(_bands(values).view(np.int64), sizes, strict=True)]
-        columns = [batch.column(0), sizes, *prints, *_sketch(values).reshape(len(sets), 4).T]
+        columns = [batch.column(0), batch.column(2), sizes, *prints, *_sketch(values).reshape(len(sets), 4).T]
         arrays = [x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in columns]
-        names = ["id", "n_shingles", "print1", "print2", *_SKETCH, "bands"]
+        names = [*_NUMBERS, "bands"]
         return pa.record_batch([*arrays, pa.array(bands, pa.list_(pa.int64()))], names)
 
     source = docs.select(docs[key].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    numbers = ", ".join(f"{c} bigint" for c in ("id", "n_shingles", "print1", "print2", *_SKETCH))
+    source = source.withColumn("mark", F.xxhash64("text"))
+    numbers = ", ".join(f"{c} bigint" for c in _NUMBERS)
     return map_text(source, "text", run, f"{numbers}, bands array<bigint>")
 
 
@@ -134,13 +136,16 @@ def _confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent:
     """The pairs (``hub``, ``id``) whose full sets are similar enough."""
     ids = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     sets = stored(_full_sets(docs, key, text, ids))
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("items").alias("hub_items")), "hub")
+    hubs = sets.select(F.col("id").alias("hub"), F.col("items").alias("hub_items"))
+    both = pairs.join(sets, "id").join(hubs, "hub")
     common = F.size(F.array_intersect("items", "hub_items"))
     test = _similar(common, F.size("items"), F.size("hub_items"), percent)
     return stored(both.where(test).select("hub", "id").distinct())
 
 
-def link_table(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_table(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, size, prints), classes of equal sets (prints, id), and links between classes."""
     rows = stored(signatures(docs, key, text))
     # Only the group columns and the least id are shuffled for copies, after a map-side combine.
@@ -196,7 +201,10 @@ def _left_over(members: DataFrame, marks: DataFrame, links: DataFrame, tested: D
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``."""
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs``.
+
+    ``mark``, a hash of the text, tells rows of one id apart.
+    """
     rows, classes, links = link_table(docs, key, text, percent)
     found = components(links, "hub", "id").withColumnRenamed("node", "id")
     labels = classes.select("print1", "print2", "id").join(found, "id", "left")
@@ -204,16 +212,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # Rows without id or shingles match no class, having no prints to match by.
     known = F.expr("n_shingles > 0 AND id IS NOT NULL")
     prints = [F.when(known, F.col(c)).alias(c) for c in ("print1", "print2")]
-    out = rows.select("id", "n_shingles", *prints).join(labels, ["print1", "print2"], "left")
+    out = rows.select("id", "n_shingles", "mark", *prints).join(labels, ["print1", "print2"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
+        "mark",
     )
 
 
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep.
+
+    Rows of one id and text count once; rows with a null id stay.
+    """
+    found = stored(near_duplicates(docs, key, text).select("doc_id", "mark", "kept"))
+    own = [docs[key].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit("")))]
+
+    def matched(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        named = rows.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+        return df.join(named, (own[0] == F.col("__id")) & (own[1] == F.col("__mark")), how)
+
+    left = matched(docs, found.where("NOT kept").distinct(), "left_anti")
+    again = stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "mark").count().where("count > 1"))
+    if again.isEmpty():
+        return left
+    once = matched(left, again, "left_semi").dropDuplicates([key, text])
+    return matched(left, again, "left_anti").unionByName(once)
+
+
 #: DuckDB SQL over ``documents`` for the result of ``near_duplicates``.
 SQL = r"""
 WITH RECURSIVE words AS (
