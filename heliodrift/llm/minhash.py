@@ -12,8 +12,10 @@ their similarity. ``BANDS`` bands of ``BINS / BANDS`` bins are the buckets: at a
 3. Pairs that a sketch (two bits a bin) or the sizes rule out are dropped, the others are
    confirmed on the full sets, and the links give components.
 4. A bucket whose members are still in different components may hide a link between two of
-   them. Its members of different components are compared by their sketches, and those that
-   may be similar are confirmed in the same way, which completes the links.
+   them. Three bounds that lose nothing are put before the sketch there: sizes, the number of
+   shingles that occur in any other such document, and the bits in which bitmaps of the sets
+   differ (half of what they leave is the most two sets can share). The few pairs that stay
+   open are confirmed in the same way, which completes the links.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
 A row with a null id is not linked and stays; repeated rows get the same result each; ties
@@ -38,6 +40,8 @@ PERCENT = 75
 #: Differing sketch bits beyond which a pair is not looked at: at a similarity of 0.75 their
 #: mean is 32 and their deviation 6.3.
 SKETCH_BITS = 64
+#: Bits of the bitmaps that bound what two sets share.
+BITMAP_BITS = 2_048
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
 _SKETCH = ("s0", "s1", "s2", "s3")
@@ -108,36 +112,57 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return map_text(source, "text", run, f"{numbers}, bands array<bigint>")
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sets), BITMAP_BITS), bool)
+    for row, items in enumerate(sets):
+        out[row, (mix(items, 8) % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """The shingle sets of the documents in ``ids``."""
+    """The shingle sets of the documents in ``ids`` and their bitmaps."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [x.view(np.int64) for x in shingle_sets([x.encode() for x in batch.column(1).to_pylist()])]
-        return pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
+        sets = shingle_sets([x.encode() for x in batch.column(1).to_pylist()])
+        bitmaps = pa.array(list(_bitmaps(sets)), pa.list_(pa.int64()))
+        items = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+        return pa.record_batch([batch.column(0), items, bitmaps], ["id", "items", "bitmap"])
 
     source = docs.select(docs[key].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    return map_text(source.join(ids, "id", "left_semi"), "text", run, "id bigint, items array<bigint>")
+    schema = "id bigint, items array<bigint>, bitmap array<bigint>"
+    return map_text(source.join(ids, "id", "left_semi"), "text", run, schema)
 
 
 def _similar(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
+def _differing(left: Column, right: Column) -> Column:
+    return F.bit_count(left.bitwiseXOR(right))
+
+
 def _maybe_similar(left: str, right: str, percent: int) -> Column:
     """What sizes and sketches leave open."""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    bits = sum(
-        (F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _SKETCH), F.lit(0)
-    )
+    bits = sum((_differing(F.col(f"{left}.{s}"), F.col(f"{right}.{s}")) for s in _SKETCH), F.lit(0))
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= SKETCH_BITS)
 
 
-def _confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame, percent: int) -> DataFrame:
+def _can_share(left: str, right: str, percent: int) -> Column:
+    """Whether enough can be common, by the shingles found elsewhere and by the bitmaps."""
+    a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    common = F.least(f"{left}.elsewhere", f"{right}.elsewhere")
+    words = range(BITMAP_BITS // 64)
+    bits = sum((_differing(F.col(f"{left}.bitmap")[k], F.col(f"{right}.bitmap")[k]) for k in words), F.lit(0))
+    at_most = (a + b - bits) / 2
+    return _similar(common, a, b, percent) & _similar(at_most, a, b, percent)
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``hub``, ``id``) whose full sets are similar enough."""
-    ids = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    sets = stored(_full_sets(docs, key, text, ids))
+    items = sets.select("id", "items")
     hubs = sets.select(F.col("id").alias("hub"), F.col("items").alias("hub_items"))
-    both = pairs.join(sets, "id").join(hubs, "hub")
+    both = pairs.join(items, "id").join(hubs, "hub")
     common = F.size(F.array_intersect("items", "hub_items"))
     test = _similar(common, F.size("items"), F.size("hub_items"), percent)
     return stored(both.where(test).select("hub", "id").distinct())
@@ -159,23 +184,24 @@ def link_table(
     crowded = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(bands.join(crowded, "bucket"))
     weights = members.groupBy("id").agg(F.sum("members").alias("weight"))
-    ranked = members.join(weights, "id").select("bucket", "id", F.struct("weight", (-F.col("id")).alias("back")).alias("rank"))
-    hubs = ranked.groupBy("bucket").agg((-F.max("rank")["back"]).alias("hub"))
+    rank = F.struct("weight", (-F.col("id")).alias("back")).alias("rank")
+    hubs = members.join(weights, "id").select("bucket", rank).groupBy("bucket").agg((-F.max("rank")["back"]).alias("hub"))
     stars = members.join(hubs, "bucket").where("id <> hub").select("hub", "id").distinct()
-    named = stars.join(marks.alias("a"), "id").select("hub", F.struct("id", "n_shingles", *_SKETCH).alias("a"))
-    pairs = stored(
-        named.join(marks.withColumnRenamed("id", "hub").select("hub", F.struct("n_shingles", *_SKETCH).alias("b")), "hub")
-        .where(_maybe_similar("a", "b", percent))
-        .select("hub", F.col("a.id").alias("id"))
-    )
-    links = _confirmed(docs, key, text, pairs, percent)
-    more = stored(_left_over(members, marks, links, pairs, percent))
+    named = stars.join(marks, "id").select("hub", F.struct("id", "n_shingles", *_SKETCH).alias("a"))
+    others = marks.select(F.col("id").alias("hub"), F.struct("n_shingles", *_SKETCH).alias("b"))
+    pairs = named.join(others, "hub").where(_maybe_similar("a", "b", percent))
+    pairs = stored(pairs.select("hub", F.col("a.id").alias("id")))
+    sets = stored(_full_sets(docs, key, text, weights.select("id")))
+    links = _confirmed(sets, pairs, percent)
+    more = stored(_left_over(members, marks, sets, links, pairs, percent))
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(docs, key, text, more, percent))
+        links = links.unionByName(_confirmed(sets, more, percent))
     return rows, classes, links
 
 
-def _left_over(members: DataFrame, marks: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _left_over(
+    members: DataFrame, marks: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int
+) -> DataFrame:
     """Pairs of a bucket in different components that may be similar and were not tested."""
     found = components(links, "hub", "id").withColumnRenamed("node", "id")
     labelled = members.select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -185,12 +211,29 @@ def _left_over(members: DataFrame, marks: DataFrame, links: DataFrame, tested: D
         .where("low < high")
         .select("bucket")
     )
-    open_rows = labelled.join(mixed, "bucket").join(marks, "id")
-    side = open_rows.select("bucket", F.struct("id", "component", "n_shingles", *_SKETCH).alias("x"))
+    open_rows = stored(labelled.join(mixed, "bucket"))
+    open_sets = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
+    # A shingle of no other open document cannot be common to two of them.
+    alone = (
+        open_sets.select("id", F.explode("items").alias("item"))
+        .groupBy("item")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("alone"))
+    )
+    elsewhere = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("elsewhere")
+    known = marks.join(open_sets.select("id", "bitmap"), "id").join(alone, "id", "left")
+    known = known.select("id", "n_shingles", elsewhere, *_SKETCH, "bitmap")
+    # The least another document must share: with one of ``percent`` of its size, all of that.
+    known = known.where(100 * F.col("elsewhere") >= percent * F.col("n_shingles"))
+    x = F.struct("id", "component", "n_shingles", "elsewhere", *_SKETCH, "bitmap").alias("x")
+    side = open_rows.join(known, "id").select("bucket", x)
+    different = F.col("a.component") < F.col("b.component")
     pairs = (
         side.withColumnRenamed("x", "a")
         .join(side.withColumnRenamed("x", "b"), "bucket")
-        .where((F.col("a.component") < F.col("b.component")) & _maybe_similar("a", "b", percent))
+        .where(different & _maybe_similar("a", "b", percent) & _can_share("a", "b", percent))
         .select(F.col("a.id").alias("hub"), F.col("b.id").alias("id"))
         .distinct()
     )
