@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodrift.llm import bpe, decontamination, language, main_text, minhash, pii, quality, topk, toxicity
+from heliodrift.llm import bpe, decontamination, language, main_text, minhash, pii, quality, revisits, topk, toxicity
 from heliodrift.llm.tables import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified captures of all pages, resolved."""
+    records = revisits.page_records(_table(spark, sf_dir, "pages"))
+    return revisits.resolve_revisits(records).withColumn("headers", revisits.header_lines("headers"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; its source is the host."""
     docs = _table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ def op10_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op2_language": op2_language,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_main_text": op4_main_text,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_revisits": revisits.SQL,
     "op3_near_duplicates": minhash.SQL,
     "op5_benchmark_passages": decontamination.SQL,
     "op6_top_inner_products": topk.SQL,
