@@ -31,7 +31,7 @@ QUERY_ROWS = 512
 LEVELS = 16
 TOP = 10
 #: Segments between two looks at what is proven.
-STRIDE = 64
+STRIDE = 128
 _LIMIT = float(2**62)
 
 
@@ -128,9 +128,11 @@ class Shard:
             if len(possible) <= max(4 * k, len(self.ids) // 32) or done == len(order):
                 self._score(possible, query, scores, scored)
                 break
-            for segment in order[done : done + STRIDE]:
-                sums[self.members[segment]] += impact[segment]
-                met[self.members[segment]] += 1
+            visited = order[done : done + STRIDE]
+            who = np.concatenate([self.members[x] for x in visited])
+            gains = np.repeat(impact[visited], [len(self.members[x]) for x in visited])
+            sums += np.bincount(who, gains, len(sums))
+            met += np.bincount(who, minlength=len(sums))
             done = min(done + STRIDE, len(order))
         found = np.flatnonzero(np.isfinite(scores))
         found = found[np.lexsort((self.ids[found], -scores[found]))][:k]
