@@ -158,12 +158,13 @@ def _unpivoted(table: str, columns) -> str:
     )
 
 
-def _long(rows: int, label_of) -> str:
+def _long(rows: int, label_of, partition: str = "") -> str:
     shown = [*WEATHER, *POWER, "DAILY_YIELD_forecasted", "TOTAL_YIELD_forecasted"]
     past = [(c.replace("_forecasted", ""),) * 2 + ("'Historical'",) for c in shown]
     ahead = [(c, c.replace("_forecasted", ""), f"'{label_of(c)}'") for c in shown]
     return f""", recent AS (
-  SELECT * FROM filled ORDER BY DATE_TIME DESC, PLANT_ID DESC, SOURCE_KEY DESC LIMIT {rows})
+  SELECT * FROM filled
+  QUALIFY row_number() OVER ({partition} ORDER BY DATE_TIME DESC, PLANT_ID DESC, SOURCE_KEY DESC) <= {rows})
 {_unpivoted('recent', past)} UNION ALL {_unpivoted('fc', ahead)}"""
 
 
@@ -322,4 +323,49 @@ ORACLE_SQL: dict[str, str] = {
       SELECT * FROM recent ORDER BY {_KEYS}""",
     "clamped_energy": f"""WITH {_GEN} SELECT {_KEYS}, greatest(0, AC_POWER - 50) AS above_50,
       greatest(0, AC_POWER - 50) * 0.25 AS energy FROM gen""",
+    "running_total_by_day": f"""WITH {_GEN} SELECT {_KEYS},
+      10 + coalesce(sum(CASE WHEN AC_POWER >= 20 THEN AC_POWER * 0.25 END) OVER ({_BY_SOURCE} ORDER BY {_KEYS}), 0) AS used FROM gen""",
+    "fill_by_source_range": f"WITH {_FILLED} SELECT * FROM filled WHERE PLANT_ID IS NOT NULL AND SOURCE_KEY IS NOT NULL",
+    "clean_unreadable": f"""WITH {_COMB}, t AS (SELECT {_KEYS}, CASE WHEN AC_POWER % 7 = 3 THEN 'n/a'
+        WHEN AC_POWER % 7 = 4 THEN NULL ELSE CAST(AC_POWER AS VARCHAR) END AS p FROM comb),
+      f AS (SELECT {_KEYS}, coalesce(last_value(p IGNORE NULLS) OVER (
+          {_BY_SOURCE} ORDER BY {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(p IGNORE NULLS) OVER (
+          {_BY_SOURCE} ORDER BY {_KEYS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p FROM t)
+      SELECT {_KEYS}, coalesce(TRY_CAST(p AS DOUBLE), 0) AS AC_POWER FROM f""",
+    "clean_parity": f"""WITH {_COMB}, once AS (SELECT * FROM comb
+        QUALIFY row_number() OVER (PARTITION BY PLANT_ID, SOURCE_KEY, {', '.join(MEASURES)} ORDER BY DATE_TIME) = 1)
+      SELECT {_KEYS}, """
+    + ", ".join(
+        f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+        f"first_value({c} IGNORE NULLS) OVER (ORDER BY {_KEYS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS {c}"
+        for c in MEASURES
+    )
+    + " FROM once",
+    "mixed_headers": f"WITH {_GEN} SELECT * FROM gen",
+    "inferred_preview": f"""WITH {_COMB} SELECT * FROM comb ORDER BY {_KEYS} LIMIT 20""",
+    "describe_forecast": f"WITH {_FORECAST} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean,
+        round(stddev_samp({c}), 4) AS std, min({c}) AS min,
+        round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+        round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM fc"""
+        for c in (*WEATHER, *POWER)
+    ),
+    "forecast_no_power_column": f"""WITH {_WEATHER_SERIES} SELECT {_KEYS}, {', '.join(WEATHER)},
+      CAST(0 AS DOUBLE) AS DAILY_YIELD_forecasted, CAST(0 AS DOUBLE) AS TOTAL_YIELD_forecasted FROM near""",
+    "forecast_long_frame_per_source": f"WITH {_FORECAST}{_long(288, lambda c: 'Forecasted', _BY_SOURCE)}",
+    "weather_fallback": f"WITH {_WEATHER_SERIES} SELECT {_KEYS}, {', '.join(WEATHER)} FROM near",
+    "forest_group_means": f"""WITH {_FILLED} SELECT PLANT_ID, CAST(hour(DATE_TIME) AS INTEGER) AS hour,
+      count(*) AS rows, round(avg(AC_POWER), 6) AS AC_POWER FROM filled GROUP BY 1, 2""",
+}
+# What every forecast has, whatever the trees say; and weather read back from a file.
+_PROPERTIES = f"""WITH {_GEN} SELECT PLANT_ID, SOURCE_KEY, CAST(96 AS BIGINT) AS rows, CAST(96 AS BIGINT) AS times,
+  (SELECT max(DATE_TIME) FROM gen) + INTERVAL 15 MINUTE AS first_time,
+  (SELECT max(DATE_TIME) FROM gen) + INTERVAL 1 DAY AS last_time, CAST(0 AS BIGINT) AS nulls,
+  CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS falls_of_total FROM gen GROUP BY 1, 2"""
+ORACLE_SQL |= {
+    "forest_chain_properties": _PROPERTIES,
+    "forest_lag_properties": _PROPERTIES,
+    "weather_from_file": ORACLE_SQL["align_future_weather"],
 }

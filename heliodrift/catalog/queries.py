@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliodrift.catalog import views
@@ -45,7 +45,7 @@ from heliodrift.operators.profile import (
     tail,
     yield_over_time,
 )
-from heliodrift.operators.sequences import lag_mean_names, lags_and_means
+from heliodrift.operators.sequences import lag_mean_names, lags_and_means, running_total
 from heliodrift.operators.spine import entity_spine, future_spine
 from heliodrift.plans.clean import clean, fill_measures, with_parsed_time
 from heliodrift.plans.features import future_features, time_features
@@ -55,8 +55,14 @@ from heliodrift.plans.forests import (
     chain_forecast,
     holdout_r2,
     lag_forecast,
+    train_target,
+    training_frame,
+)
+from heliodrift.plans.persistence import (
+    continue_yields,
+    persistence_forecast,
+    persistence_weather,
 )
-from heliodrift.plans.persistence import persistence_forecast, persistence_weather
 from heliodrift.plans.reports import (
     CHAIN_CONTEXT_ROWS,
     LAG_CONTEXT_ROWS,
@@ -64,7 +70,9 @@ from heliodrift.plans.reports import (
     long_frame,
 )
 from heliodrift.schemas import (
+    COMBINED_SCHEMA,
     ENTITY,
+    GENERATION_SCHEMA,
     MEASURES,
     ORDER,
     PLANT,
@@ -74,8 +82,14 @@ from heliodrift.schemas import (
     WEATHER,
 )
 from heliodrift.session import shared_folder
-from heliodrift.sources.csv_files import preview_columns, read_generation, write_csv
-from heliodrift.sources.future_weather import align_weather
+from heliodrift.sources.csv_files import (
+    preview_columns,
+    read_generation,
+    read_inferred,
+    read_readings,
+    write_csv,
+)
+from heliodrift.sources.future_weather import align_weather, load_future_weather
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -297,12 +311,16 @@ def spine_entities(spark, sf_dir):
 
 def align_future_weather(spark, sf_dir):
     """Weather of both plants, one day on, put on the future grid."""
-    shifted = (
+    spine = future_spine(views.generation(spark, sf_dir))
+    return align_weather(spine, _shifted_weather(spark, sf_dir))
+
+
+def _shifted_weather(spark, sf_dir) -> DataFrame:
+    return (
         views.weather(spark, sf_dir)
         .groupBy(shift_minutes(TIME, 24 * 60).alias(TIME))
         .agg(*[F.max(c).alias(c) for c in WEATHER])
     )
-    return align_weather(future_spine(views.generation(spark, sf_dir)), shifted)
 
 
 def persistence_nearest(spark, sf_dir):
@@ -361,15 +379,27 @@ def forecast_zero_power(spark, sf_dir):
     return persistence_forecast(_history(spark, sf_dir), persist_power=False)
 
 
+def _written_history(spark, sf_dir) -> DataFrame:
+    """The history written once, for plans that read it several times."""
+    shared_folder(spark)
+    return _history(spark, sf_dir).checkpoint()
+
+
 def forecast_long_frame(spark, sf_dir):
-    history = _history(spark, sf_dir)
-    return long_frame(history, persistence_forecast(history), CHAIN_CONTEXT_ROWS)
+    history = _written_history(spark, sf_dir)
+    return long_frame(history, persistence_forecast(history), CHAIN_CONTEXT_ROWS, by=())
 
 
 def forecast_long_frame_provided(spark, sf_dir):
-    history = _history(spark, sf_dir)
+    history = _written_history(spark, sf_dir)
     forecast = persistence_forecast(history, entities="last")
-    return long_frame(history, forecast, LAG_CONTEXT_ROWS, provided=WEATHER)
+    return long_frame(history, forecast, LAG_CONTEXT_ROWS, provided=WEATHER, by=())
+
+
+def forecast_long_frame_per_source(spark, sf_dir):
+    """Three days of context of every source."""
+    history = _written_history(spark, sf_dir)
+    return long_frame(history, persistence_forecast(history), CHAIN_CONTEXT_ROWS)
 
 
 def head_forecast(spark, sf_dir):
@@ -392,14 +422,127 @@ def clamped_energy(spark, sf_dir):
     return gen.select(*ORDER, above.alias("above_50"), energy(above).alias("energy"))
 
 
-# The library's profiles have 50 and 150 trees; minutes of fitting on a few cores.
-# The registered forests learn from all rows too, but are smaller.
-_SMALL_CHAIN = replace(CHAIN_PROFILE, trees=10, depth=6)
+def running_total_by_day(spark, sf_dir):
+    """Energy of each source since its first reading, over segments of a day."""
+    gen = views.generation(spark, sf_dir)
+    missing = F.when(F.col("AC_POWER") >= 20, F.col("AC_POWER"))
+    return running_total(gen, energy(missing), "used", seed=10.0, cell="DAY").select(*ORDER, "used")
+
+
+def fill_by_source_range(spark, sf_dir):
+    """The fill over segments of bounded row counts, on the full order."""
+    return fill_measures(views.combined(spark, sf_dir), max_rows=1_000, cell="RANGE")
+
+
+def clean_unreadable(spark, sf_dir):
+    """Measures as text, some of it no number: 0 after the fill, not the neighbour's value."""
+    value = F.col("AC_POWER").cast("string")
+    text = F.when(F.col("AC_POWER") % 7 == 3, "n/a").when(F.col("AC_POWER") % 7 == 4, None).otherwise(value)
+    table = views.combined(spark, sf_dir).withColumn("AC_POWER", text)
+    return clean(table, cell=views.BY_SOURCE).select(*ORDER, "AC_POWER")
+
+
+def clean_parity(spark, sf_dir):
+    """Rows that repeat but for their time go, then fills over all series at once."""
+    combined = views.combined(spark, sf_dir)
+    return clean(combined, by=(), include_time=False, guard=True)
+
+
+def mixed_headers(spark, sf_dir):
+    """Files of two column orders in one folder, read by name."""
+    path = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    gen = views.generation(spark, sf_dir)
+    odd = F.col(PLANT) % 2 == 1
+    write_csv(gen.where(odd), f"{path}/order=1")
+    write_csv(gen.where(~odd).select(*reversed(gen.columns)), f"{path}/order=2")
+    return read_readings(spark, [f"{path}/order=1", f"{path}/order=2"], GENERATION_SCHEMA, "strict").select(*gen.columns)
+
+
+def inferred_preview(spark, sf_dir):
+    """The combined readings from a file with inferred types, before the projection."""
+    path = f"{shared_folder(spark)}/combined-{uuid.uuid4().hex}"
+    write_csv(views.combined(spark, sf_dir), path)
+    table = read_inferred(spark, path)
+    typed = table.withColumn(TIME, F.col(TIME).cast("timestamp_ntz"))
+    return head(typed.select(*COMBINED_SCHEMA.fieldNames()), 20)
+
+
+def describe_forecast(spark, sf_dir):
+    columns = (*WEATHER, *POWER)
+    table = describe(forecast_yields(spark, sf_dir), columns)
+    return _rounded(_rounded(table, 4, "mean", "std"), 6, "p25", "p50", "p75")
+
+
+def forecast_no_power_column(spark, sf_dir):
+    """Yields of a forecast without a power column are 0."""
+    history = _history(spark, sf_dir)
+    future = persistence_weather(history)
+    table = continue_yields(future, history)
+    return table.select(*ORDER, *WEATHER, "DAILY_YIELD_forecasted", "TOTAL_YIELD_forecasted")
+
+
+def weather_from_file(spark, sf_dir):
+    """Future weather that a file gives, on the grid."""
+    path = f"{shared_folder(spark)}/future-{uuid.uuid4().hex}"
+    write_csv(_shifted_weather(spark, sf_dir), path)
+    return load_future_weather(spark, future_spine(views.generation(spark, sf_dir)), path).frame
+
+
+def weather_fallback(spark, sf_dir):
+    """Without a usable file the weather is persisted."""
+    history = _history(spark, sf_dir)
+    found = load_future_weather(spark, future_spine(history), f"{sf_dir}/no-such-file.csv")
+    if found.frame is not None:
+        raise AssertionError(found.reason)
+    return persistence_weather(history).select(*ORDER, *WEATHER)
+
+
+def forest_group_means(spark, sf_dir):
+    """One unbounded tree on plant and hour, without bootstrap: it predicts each cell's mean."""
+    timed = time_features(_filled_by_source(spark, sf_dir), cyclical=False)
+    frame = training_frame(timed.select(*ORDER, "hour", "AC_POWER"))
+    tree = replace(CHAIN_PROFILE, trees=1, depth=12, min_leaf=1, bootstrap=False)
+    model = train_target(frame, "AC_POWER", (PLANT, "hour"), tree)
+    cells = frame.groupBy(PLANT, "hour").agg(F.count("*").alias("rows"))
+    return _rounded(model.predict(cells).select(PLANT, "hour", "rows", "AC_POWER"), 6, "AC_POWER")
+
+
+def _forecast_properties(forecast: DataFrame) -> DataFrame:
+    """What any forecast must be, whatever its trees say."""
+    before = F.lag("TOTAL_YIELD_forecasted").over(Window.partitionBy(*ENTITY).orderBy(TIME))
+    fallen = F.coalesce(F.col("TOTAL_YIELD_forecasted") < before, F.lit(False))
+    columns = (*WEATHER, *POWER, "DAILY_YIELD_forecasted", "TOTAL_YIELD_forecasted")
+    nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+    negative = sum((F.coalesce(F.col(c) < 0, F.lit(False)).cast("long") for c in ("IRRADIATION", *POWER)), F.lit(0))
+    return (
+        forecast.withColumn("fallen", fallen)
+        .groupBy(*ENTITY)
+        .agg(
+            F.count("*").alias("rows"),
+            F.countDistinct(TIME).alias("times"),
+            F.min(TIME).alias("first_time"),
+            F.max(TIME).alias("last_time"),
+            F.sum(nulls).alias("nulls"),
+            F.sum(negative).alias("negative"),
+            F.count_if("fallen").alias("falls_of_total"),
+        )
+    )
+
+
+def forest_chain_properties(spark, sf_dir):
+    return _forecast_properties(forest_chain_forecast(spark, sf_dir))
+
+
+def forest_lag_properties(spark, sf_dir):
+    return _forecast_properties(forest_lag_forecast(spark, sf_dir))
+
+
+# The second of the library's profiles takes long on a few cores.
 _SMALL_LAG = replace(LAG_PROFILE, trees=10, depth=6)
 
 
 def forest_chain_forecast(spark, sf_dir):
-    return chain_forecast(_history(spark, sf_dir), _SMALL_CHAIN)
+    return chain_forecast(_history(spark, sf_dir), CHAIN_PROFILE)
 
 
 def forest_lag_forecast(spark, sf_dir):
@@ -409,7 +552,7 @@ def forest_lag_forecast(spark, sf_dir):
 
 
 def forest_holdout_r2(spark, sf_dir):
-    return holdout_r2(_history(spark, sf_dir), _SMALL_CHAIN)
+    return holdout_r2(_history(spark, sf_dir), CHAIN_PROFILE)
 
 
 QUERIES: dict[str, Query] = {
@@ -459,4 +602,18 @@ QUERIES: dict[str, Query] = {
     "forest_chain_forecast": forest_chain_forecast,
     "forest_lag_forecast": forest_lag_forecast,
     "holdout_r2": forest_holdout_r2,
+    "running_total_by_day": running_total_by_day,
+    "fill_by_source_range": fill_by_source_range,
+    "clean_unreadable": clean_unreadable,
+    "clean_parity": clean_parity,
+    "mixed_headers": mixed_headers,
+    "inferred_preview": inferred_preview,
+    "describe_forecast": describe_forecast,
+    "forecast_no_power_column": forecast_no_power_column,
+    "forecast_long_frame_per_source": forecast_long_frame_per_source,
+    "weather_from_file": weather_from_file,
+    "weather_fallback": weather_fallback,
+    "forest_group_means": forest_group_means,
+    "forest_chain_properties": forest_chain_properties,
+    "forest_lag_properties": forest_lag_properties,
 }

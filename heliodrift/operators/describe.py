@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliodrift.functions.parsing import nan_to_null
 from heliodrift.operators.columns import check_columns
 from heliodrift.schemas import MEASURES
 
@@ -33,6 +34,8 @@ def describe(
     narrowing (see :func:`exact_quantiles`) and set into the one-pass aggregates.
     """
     columns = check_columns(df, columns, strict=False)
+    # One type on both ways to the quartiles; NaN is a missing value.
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     if df.count() <= max_ranked:
         quartiles = {
             c: F.percentile(c, F.array(*map(F.lit, QUARTILES))) for c in columns
@@ -97,7 +100,8 @@ def exact_quantiles(
                 continue
             low, high, part = ranks[c, q]
             a, b = values[c, low], values[c, high]
-            result[c].append(a + (b - a) * part)
+            # As the built-in percentile does it, infinite neighbours included.
+            result[c].append(a if a == b or not part else a * (1 - part) + b * part)
     return result
 
 

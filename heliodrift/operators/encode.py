@@ -15,22 +15,25 @@ from heliodrift.operators.profile import over_two_values
 from heliodrift.schemas import PLANT, SOURCE
 
 PREFIXES = {PLANT: "PLANT", SOURCE: "SOURCE"}
-# Beyond this many values use sparse_one_hot: every dummy is a column of the plan.
-MAX_DUMMIES = 1_000
 
 
 class TooManyValues(ValueError):
-    """A column has too many distinct values for one dummy column each."""
+    """A column has more distinct values than the caller allows dummy columns."""
 
 
 def category_values(
-    df: DataFrame, column: str, max_values: int = MAX_DUMMIES
+    df: DataFrame, column: str, max_values: int | None = None
 ) -> list[str]:
-    """The sorted distinct values as text, nulls left out; raises past the bound."""
+    """The sorted distinct values as text, nulls left out; raises past a bound if one is given.
+
+    Each value becomes a column of the plan; for many values see :func:`sparse_one_hot`.
+    """
     text = F.col(column).cast("string").alias("value")
-    found = df.select(text).where("value is not null").distinct().limit(max_values + 1)
+    found = df.select(text).where("value is not null").distinct()
+    if max_values is not None:
+        found = found.limit(max_values + 1)
     values = sorted(row["value"] for row in found.collect())
-    if len(values) > max_values:
+    if max_values is not None and len(values) > max_values:
         raise TooManyValues(f"{column} has more than {max_values} values")
     return values
 
@@ -38,7 +41,7 @@ def category_values(
 def category_map(
     df: DataFrame,
     columns: Sequence[str] = tuple(PREFIXES),
-    max_values: int = MAX_DUMMIES,
+    max_values: int | None = None,
 ) -> dict[str, list[str]]:
     return {c: category_values(df, c, max_values) for c in columns}
 
@@ -92,27 +95,20 @@ def vector_name(column: str) -> str:
 
 @dataclass(frozen=True)
 class EntityEncoder:
-    """Plant and source as features: a column per value, or a sparse vector each."""
+    """Plant and source as a sparse vector each, whose slots are the sorted values."""
 
     names: tuple[str, ...]
-    categories: dict[str, list[str]] | None
-    vectors: PipelineModel | None
+    vectors: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.vectors is None:
-            return one_hot(df, self.categories)
         encoded = self.vectors.transform(df)
         return encoded.drop(*[f"{c}_index" for c in PREFIXES])
 
 
-def fit_entity_encoder(df: DataFrame, max_values: int = MAX_DUMMIES) -> EntityEncoder:
-    """Dummies while they are few enough to be columns, else sparse vectors."""
-    try:
-        categories = category_map(df, max_values=max_values)
-    except TooManyValues:
-        vectors = sparse_one_hot().fit(df.select(*PREFIXES))
-        return EntityEncoder(tuple(map(vector_name, PREFIXES)), None, vectors)
-    return EntityEncoder(tuple(dummy_names(categories)), categories, None)
+def fit_entity_encoder(df: DataFrame) -> EntityEncoder:
+    """The slots of the dummies, in their order, however many there are."""
+    vectors = sparse_one_hot().fit(df.select(*PREFIXES))
+    return EntityEncoder(tuple(map(vector_name, PREFIXES)), vectors)
 
 
 @dataclass(frozen=True)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliodrift.functions.calendar import seconds_between
+from heliodrift.functions.parsing import nan_to_null
 from heliodrift.operators.columns import check_columns
 from heliodrift.schemas import ENTITY, MEASURES, ORDER, POWER, TIME, YIELDS
 
@@ -30,12 +32,17 @@ def daily_totals(df: DataFrame, columns: Sequence[str] = SUMMED) -> DataFrame:
     return dated.groupBy("DATE").agg(*map(_sum, columns))
 
 
+def _without_nan(df: DataFrame, column: str) -> Column:
+    fractional = df.schema[column].dataType.typeName() in ("double", "float")
+    return nan_to_null(column) if fractional else F.col(column)
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
-    """One row per column: whether it has nulls and how many, in one pass."""
+    """One row per column: whether it has nulls (or NaN) and how many, in one pass."""
     columns = check_columns(df, columns, strict=False)
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+        *[F.count_if(_without_nan(df, c).isNull()).alias(c) for c in columns],
     )
     return counts.unpivot("rows", list(columns), "column", "null_count").select(
         "column",
@@ -97,18 +104,29 @@ def over_two_values(
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct values per column, with and without null as a value."""
+    """Exact distinct values per column, with and without null as a value.
+
+    Values keep their own type; NaN counts as null.
+    """
     # Long form first: each (column, value) pair is one grouping key, so the work
     # spreads over all values instead of one task per column.
     # Partial counts per value also shrink a value held by most rows.
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    values = long.groupBy("column", "value").count()
-    return values.groupBy("column").agg(
-        F.count("value").alias("distinct_values"),
-        F.count(F.lit(1)).alias("distinct_with_null"),
-    )
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    counted = []
+    for names in by_type.values():
+        long = df.select(*[_without_nan(df, c).alias(c) for c in names]).unpivot(
+            [], names, "column", "value"
+        )
+        values = long.groupBy("column", "value").count()
+        counted.append(
+            values.groupBy("column").agg(
+                F.count("value").alias("distinct_values"),
+                F.count(F.lit(1)).alias("distinct_with_null"),
+            )
+        )
+    return reduce(DataFrame.unionByName, counted)
 
 
 def latest_time(df: DataFrame) -> Column:
@@ -161,13 +179,27 @@ def _edge_rows(df, by, order, pick) -> DataFrame:
 
 
 def head(df: DataFrame, rows: int = 5, order: Sequence[str] = ORDER) -> DataFrame:
-    """The first rows in the total order."""
-    return df.orderBy(*[c for c in order if c in df.columns]).limit(rows)
+    """The first rows in the total order, ties settled by content."""
+    return df.orderBy(*_total_order(df, order)).limit(rows)
 
 
 def tail(df: DataFrame, rows: int, order: Sequence[str] = ORDER) -> DataFrame:
-    """The last rows of the total order (a top-n, not a full sort)."""
-    return df.orderBy(*[F.col(c).desc() for c in order if c in df.columns]).limit(rows)
+    """The last rows of the total order, in that order (a top-n, not a full sort)."""
+    ordered = _total_order(df, order)
+    return df.orderBy(*[c.desc() for c in ordered]).limit(rows).orderBy(*ordered)
+
+
+def tail_per_series(
+    df: DataFrame, rows: int, by: Sequence[str] = ENTITY, order: Sequence[str] = ORDER
+) -> DataFrame:
+    """The last rows of each series; tasks keep no more than these before the shuffle."""
+    ordered = [c.desc() for c in _total_order(df, [c for c in order if c not in by])]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*ordered))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= rows).drop("__rank")
+
+
+def _total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in order if c in df.columns] + [F.xxhash64(*df.columns)]
 
 
 def power_by_time_of_day(df: DataFrame) -> DataFrame:

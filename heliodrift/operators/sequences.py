@@ -64,13 +64,17 @@ def running_total(
     max_rows: int = MAX_SEGMENT_ROWS,
     cell: str | None = None,
 ) -> DataFrame:
-    """``seed`` plus the running sum of ``value`` along each series."""
+    """``seed`` plus the running sum of ``value`` along each series.
+
+    A null adds nothing, at the start of a series too.
+    """
     value = F.col(value) if isinstance(value, str) else value
     layout = lay_out(df, by, order, max_rows, cell)
     total = F.sum(value).over(layout.window().rowsBetween(_FIRST, _HERE))
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     if layout.whole:
-        return drop_work_columns(layout.frame.withColumn(name, seed + total))
+        whole = seed + F.coalesce(total, F.lit(0.0))
+        return drop_work_columns(layout.frame.withColumn(name, whole))
     earlier = layout.across().rowsBetween(_FIRST, -1)
     table = layout.summary(F.sum(value).alias("__sum")).select(
         *layout.by,

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliodrift.functions.parsing import lenient_number, parse_time
-from heliodrift.operators.columns import check_columns, drop_null_keys
+from heliodrift.functions.parsing import lenient_number, nan_to_null, parse_time
+from heliodrift.operators.columns import check_columns, drop_null_keys, require_rows
 from heliodrift.operators.combine import drop_duplicates
 from heliodrift.operators.layout import MAX_SEGMENT_ROWS, choose_cell
 from heliodrift.operators.sequences import fill
@@ -30,7 +30,7 @@ def fill_measures(
     number: str | None = None,
     **layout,
 ) -> DataFrame:
-    """Fill, make numeric, then 0 - in that order.
+    """Fill, make numeric, then 0 - in that order; NaN is filled like a null.
 
     So text that is no number becomes 0, not its neighbour's value. Rows without a
     plant or source are dropped last: with ``by=()`` they still lend their values.
@@ -38,6 +38,8 @@ def fill_measures(
     """
     columns = check_columns(df, columns, strict=False)
     text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    fractional = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    df = df.withColumns({c: nan_to_null(c) for c in columns if c in fractional})
     stays = F.col(ENTITY[0]).isNotNull() & F.col(ENTITY[1]).isNotNull()
     filled = fill(df, columns, by, order, number=number, numbered=stays, **layout)
     numbers = {
@@ -53,9 +55,13 @@ def clean(
     include_time: bool = True,
     max_rows: int = MAX_SEGMENT_ROWS,
     cell: str | None = None,
+    guard: bool = False,
 ) -> DataFrame:
     """Parse times, drop duplicates, fill. ``by=()`` fills over all series at once.
 
+    Measures read with ``raw=True`` are text, so that what is no number becomes 0 and not
+    its neighbour's value. ``guard`` raises if no row is left, at the cost of a look.
+
     The split is chosen before duplicates go, on the cheaper frame; dropping rows can
     only make segments smaller.
     """
@@ -64,4 +70,5 @@ def clean(
         order = tuple(c for c in ORDER if c not in by)
         cell = choose_cell(parsed, by, order, max_rows)
     unique = drop_duplicates(parsed, include_time)
-    return fill_measures(unique, by=by, max_rows=max_rows, cell=cell)
+    filled = fill_measures(unique, by=by, max_rows=max_rows, cell=cell)
+    return require_rows(filled) if guard else filled

@@ -20,7 +20,6 @@ from heliodrift.operators.columns import (
     numeric_columns,
 )
 from heliodrift.operators.encode import (
-    MAX_DUMMIES,
     Scaler,
     fit_entity_encoder,
     fit_scaler,
@@ -40,7 +39,10 @@ from heliodrift.session import shared_folder
 # Predictions of these are clamped at 0; temperatures are not.
 NON_NEGATIVE = ("IRRADIATION", *POWER)
 _VECTOR = "__features"
-_MIN_TASK_ROWS = 1_000
+# Rows of a training task: few on small tables, so that all cores get some, and a
+# bounded number on large ones.
+_SMALL_TASK_ROWS, _SMALL_TASKS = 1_000, 64
+_TASK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,7 @@ class ForestProfile:
     count_null: bool = False
     bins: int = 128
     seed: int = 42
+    bootstrap: bool = True
     # Split statistics a task may hold; more means fewer passes over the data.
     memory_mb: int = 256
 
@@ -123,11 +126,9 @@ def training_frame(df: DataFrame) -> DataFrame:
     Bootstrap samples depend on where each row sits, so this makes equal seeds give
     equal forests; and several fits read the frame without computing it again.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    # Each task of a fit holds split statistics, so tiny partitions only cost.
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, -(-df.count() // _MIN_TASK_ROWS)))
+    shared_folder(df.sparkSession)
+    # From the rows alone: a session setting must not change the bootstrap samples.
+    parts = training_parts(df.count())
     # By content, so that a key held by a large share of the rows still spreads.
     placed = df.repartition(parts, *df.columns).sortWithinPartitions(
         *ORDER, F.xxhash64(*df.columns)
@@ -135,6 +136,10 @@ def training_frame(df: DataFrame) -> DataFrame:
     return placed.checkpoint()
 
 
+def training_parts(rows: int) -> int:
+    return max(1, min(_SMALL_TASKS, -(-rows // _SMALL_TASK_ROWS)), -(-rows // _TASK_ROWS))
+
+
 def train_target(
     frame: DataFrame,
     target: str,
@@ -162,7 +167,7 @@ def train_target(
         maxDepth=profile.depth,
         minInstancesPerNode=profile.min_leaf,
         featureSubsetStrategy="all",
-        bootstrap=True,
+        bootstrap=profile.bootstrap,
         subsamplingRate=1.0,
         maxBins=profile.bins,
         seed=profile.seed,
@@ -229,14 +234,13 @@ def chain_forecast(
     profile: ForestProfile = CHAIN_PROFILE,
     entities: str = "all",
     targets: Sequence[str] = DEPENDENCY_ORDER,
-    max_dummies: int = MAX_DUMMIES,
 ) -> DataFrame:
     """Forecast weather, then power, then yields, of a clean history.
 
     Weather without a model is persisted, power without a model is 0.
     """
     written = training_frame(time_features(history, cyclical=False))
-    encoder = fit_entity_encoder(written, max_dummies)
+    encoder = fit_entity_encoder(written)
     frame = encoder.transform(written)
     models = train_chain(frame, chain_features(encoder.names), profile)
     history = written.select(*history.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliodrift.operators.columns import strip_forecast_suffix
-from heliodrift.operators.profile import tail
+from heliodrift.operators.profile import tail, tail_per_series
 from heliodrift.schemas import (
     DAILY_FORECAST,
     ENTITY,
@@ -38,9 +38,12 @@ def long_frame(
     context_rows: int = CHAIN_CONTEXT_ROWS,
     provided: Sequence[str] = (),
     series: Sequence[str] = SERIES,
+    by: Sequence[str] = ENTITY,
 ) -> DataFrame:
     """One row per time and series: recent history, then the forecast, labelled.
 
+    ``context_rows`` are those of each source; ``by=()`` takes them from all sources at once.
+
     Labels: Historical; User-Provided for the ``provided`` weather; Derived for the
     yields when weather was provided; else Forecasted.
     """
@@ -49,9 +52,12 @@ def long_frame(
     continued = [
         c for c in dict.fromkeys(map(strip_forecast_suffix, shown)) if c in history.columns
     ]
+    shown_history = history.select(*keys, *continued)
+    recent = (
+        tail_per_series(shown_history, context_rows, by) if by else tail(shown_history, context_rows)
+    )
     past = (
-        tail(history.select(*keys, *continued), context_rows)
-        .unpivot(keys, continued, "series", "value")
+        recent.unpivot(keys, continued, "series", "value")
         .withColumn("label", F.lit("Historical"))
     )
     name = F.col("series")

@@ -8,7 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodrift.functions.parsing import lenient_number, nan_to_null, parse_time_strict
+from heliodrift.functions.parsing import (
+    lenient_number,
+    nan_to_null,
+    parse_time,
+    parse_time_strict,
+)
 from heliodrift.operators.columns import MissingColumns, check_columns
 from heliodrift.operators.combine import DuplicateTimes, align_to_spine
 from heliodrift.operators.sequences import fill
@@ -20,6 +25,10 @@ class UnfillableWeather(ValueError):
     """A weather column has no value at all in the forecast period."""
 
 
+class UnreadableTimes(ValueError):
+    """A time of the file is in no known format."""
+
+
 class FutureWeather(NamedTuple):
     frame: DataFrame | None
     reason: str
@@ -52,19 +61,21 @@ def load_future_weather(
     if not path:
         return FutureWeather(None, "no path given")
     try:
-        filled = align_weather(spine, read_text(spark, path))
+        text = read_text(spark, path)
+        check_columns(text, FUTURE_WEATHER_SCHEMA.fieldNames())
+        parsed = text.withColumn("__time", parse_time(TIME))
+        bad = parsed.where(F.col(TIME).isNotNull() & F.col("__time").isNull())
+        if not bad.isEmpty():
+            raise UnreadableTimes("unreadable time in the file")
+        filled = align_weather(spine, parsed.withColumn(TIME, F.col("__time")).drop("__time"))
         gaps = filled.agg(
             *[F.bool_or(F.col(c).isNull()).alias(c) for c in WEATHER]
         ).first()
         empty = [c for c in WEATHER if gaps[c]]
         if empty:
             raise UnfillableWeather(f"no values for {', '.join(empty)}")
-    except (MissingColumns, DuplicateTimes, UnfillableWeather) as problem:
+    except (MissingColumns, DuplicateTimes, UnfillableWeather, UnreadableTimes) as problem:
         return FutureWeather(None, str(problem))
     except AnalysisException as problem:
         return FutureWeather(None, str(problem).splitlines()[0])
-    except Exception as problem:  # unreadable times surface from the job itself
-        if "unreadable time" not in str(problem):
-            raise
-        return FutureWeather(None, "unreadable time in the file")
     return FutureWeather(filled, "read from file")

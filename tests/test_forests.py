@@ -67,8 +67,8 @@ def test_chain_forecast_follows_the_sun_and_repeats(history):
     assert first == again
 
 
-def test_sparse_encoding_forecasts_too(history):
-    rows = check(chain_forecast(history, SMALL, max_dummies=1))
+def test_plants_are_told_apart(history):
+    rows = check(chain_forecast(history, SMALL))
     noon = {r["PLANT_ID"]: r["DC_POWER"] for r in rows if r["DATE_TIME"].hour == 12}
     assert noon[2] > noon[1] + 300
 
