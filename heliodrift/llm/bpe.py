@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliodrift.llm.batches import text_slices
+from heliodrift.llm.batches import free_memory, text_slices
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Distinct pieces whose ids a worker remembers.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 60_000
 #: What ``\s`` stands for in the tokenizers' patterns.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -62,13 +62,18 @@ class Vocabulary:
     def __init__(self, lines: bytes, pattern: str) -> None:
         pairs = (line.split() for line in lines.splitlines() if line)
         ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.ids = _Pieces(ranks)
+        self._ranks = ranks
         by_rank = {rank: token for token, rank in ranks.items()}
         self.tokens = pa.array([by_rank.get(k, b"") for k in range(max(by_rank) + 1)], pa.binary())
         inner = pattern.replace(r"[^\s", "[^" + WHITE_SPACE)
         inner = inner.replace(r"\S", "[^" + WHITE_SPACE + "]")
         self.split = regex.compile(inner.replace(r"\s", "[" + WHITE_SPACE + "]"))
 
+    @functools.cached_property
+    def ids(self) -> _Pieces:
+        """Built where texts are encoded; decoding does without it."""
+        return _Pieces(self._ranks)
+
     def encode(self, pieces: list[str]) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, pieces)), np.int32)
 
@@ -166,6 +171,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
             for part in text_slices(batch, "text"):
                 ids = [words.encode(words.split.findall(x)) for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+        free_memory()
 
     def cut_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +195,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
             for part in text_slices(batch, "chunk"):
                 marks = [bounds(words.split, x) for x in part.column(3).to_pylist()]
                 yield part.append_column("marks", pa.array(marks, pa.list_(pa.int32())))
+        free_memory()
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(lines.value, pattern)
@@ -204,6 +211,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
                 yield pa.record_batch(
                     [batch.column(0).slice(row, 1), pa.array([ids], pa.list_(pa.int32()))], ["key", "ids"]
                 )
+        free_memory()
 
     result = f"key {kind}, ids array<int>"
     # The limit is in code points where the text is cut, so one of its length has one chunk.
@@ -234,10 +242,11 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> Dat
             sizes = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:  # a bounded number of ids at a time
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000, "right")))
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 500_000, "right")))
                 part = batch.slice(at, end - at)
                 yield part.append_column("decoded", words.decode(part.column(ids)))
                 at = end
+        free_memory()
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

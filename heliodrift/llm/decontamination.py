@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliodrift.llm.batches import map_text, text_slices
+from heliodrift.llm.batches import free_memory, map_text, text_slices
 from heliodrift.llm.words import SHINGLE_WORDS, mix, row_shingles, word_hashes
 
 BITS = 128
@@ -246,6 +246,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
                     texts = [(x or "").encode() for x in piece.column(text).to_pylist()]
                     dirty = {match[0] for match in part.value.matches(texts)}
                     yield piece.filter(pa.array([k not in dirty for k in range(len(texts))], pa.bool_()))
+            free_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

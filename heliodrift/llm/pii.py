@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliodrift.llm.batches import map_text
+from heliodrift.llm.batches import free_memory, map_text, text_slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
@@ -176,9 +176,11 @@ def masked_documents(docs: DataFrame, text: str = "text", length: str = "n_chars
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts = batch.column(at).to_pylist()
-            texts = [x if x is None else mask(x, find_spans(x)) for x in texts]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            field = batch.schema.field(at)
+            for part in text_slices(batch, text):
+                texts = [x if x is None else mask(x, find_spans(x)) for x in part.column(at).to_pylist()]
+                yield part.set_column(at, field, pa.array(texts, field.type))
+        free_memory()
 
     out = docs.mapInArrow(run, docs.schema)
     if length in docs.columns:

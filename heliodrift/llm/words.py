@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 SHINGLE_WORDS = 5
-_STEP = 2_000_000
+_STEP = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
