@@ -136,9 +136,9 @@ def sparse_batch(models: list[np.ndarray]) -> pa.RecordBatch:
 SPARSE = "model int, slots array<int>, weights array<float>"
 
 
-def dense(rows: list, size: int) -> np.ndarray:
-    """The models of ``sparse_batch`` as a matrix."""
-    out = np.zeros((len(rows), size), np.float32)
+def dense(rows: list, models: int, size: int) -> np.ndarray:
+    """The ``models`` of ``sparse_batch`` as a matrix; zeros if an empty sample ran no task."""
+    out = np.zeros((models, size), np.float32)
     for row in rows:
         out[row["model"], row["slots"]] = row["weights"]
     return out

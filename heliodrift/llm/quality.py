@@ -48,7 +48,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     # One task for a sample of bounded size, in an order that the partitions don't change.
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    return dense(ordered.mapInArrow(run, SPARSE).collect(), size)[0]
+    return dense(ordered.mapInArrow(run, SPARSE).collect(), 1, size)[0]
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -93,7 +93,7 @@ def train(
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     size = (1 << FEATURES.bits) + len(categories) + 1
-    return dense(ordered.mapInArrow(run, SPARSE).collect(), size)
+    return dense(ordered.mapInArrow(run, SPARSE).collect(), len(categories), size)
 
 
 def score(
