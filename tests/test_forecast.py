@@ -170,7 +170,10 @@ def test_long_frame_labels(history):
     assert ("IRRADIATION", "User-Provided") in labels
     assert ("DAILY_YIELD", "Derived") in labels and ("AC_POWER", "Forecasted") in labels
     assert {s for s, label in labels if label == "Historical"} == {*WEATHER, *POWER, "DAILY_YIELD", "TOTAL_YIELD"}
-    assert frame.where("label = 'Historical'").count() == 20 * 7
+    sources = history.select("PLANT_ID", "SOURCE_KEY").distinct().count()
+    assert frame.where("label = 'Historical'").count() == sources * 20 * 7
+    whole = long_frame(history, forecast, 20, provided=WEATHER, by=())
+    assert whole.where("label = 'Historical'").count() == 20 * 7
     assert {r["label"] for r in long_frame(history, forecast).select("label").distinct().collect()} == {"Historical", "Forecasted"}
     output = forecast_output(forecast, ["AC_POWER", "absent"])
     assert output.columns == ["DATE_TIME", "PLANT_ID", "SOURCE_KEY", "AC_POWER"]
