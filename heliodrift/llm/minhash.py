@@ -9,13 +9,12 @@ their similarity. ``BANDS`` bands of ``BINS / BANDS`` bins are the buckets: at a
 1. Equal sets become one class; only its least id goes on, so copies make no pairs.
 2. In each bucket every member is paired with the hub alone, the member that meets most others
    over all its buckets: one pair for a member and bucket at most.
-3. Pairs that a sketch (two bits a bin) or the sizes rule out are dropped, the others are
-   confirmed on the full sets, and the links give components.
+3. Pairs that a bound rules out are dropped, the others are confirmed on the full sets, and the
+   links give components. The bounds lose nothing: sizes, and the bits in which bitmaps of the
+   sets differ (half of what they leave is the most two sets can share).
 4. A bucket whose members are still in different components may hide a link between two of
-   them. Three bounds that lose nothing are put before the sketch there: sizes, the number of
-   shingles that occur in any other such document, and the bits in which bitmaps of the sets
-   differ (half of what they leave is the most two sets can share). The few pairs that stay
-   open are confirmed in the same way, which completes the links.
+   them. The number of shingles that occur in any other such document is a third bound there.
+   The pairs that stay open are confirmed in the same way, which completes the links.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
 A row with a null id is not linked and stays; repeated rows get the same result each; ties
@@ -37,15 +36,11 @@ from heliodrift.llm.words import mix, row_shingles, word_hashes
 BINS = 128
 BANDS = 32
 PERCENT = 75
-#: Differing sketch bits beyond which a pair is not looked at: at a similarity of 0.75 their
-#: mean is 32 and their deviation 6.3.
-SKETCH_BITS = 64
 #: Bits of the bitmaps that bound what two sets share.
 BITMAP_BITS = 2_048
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
-_SKETCH = ("s0", "s1", "s2", "s3")
-_NUMBERS = ("id", "mark", "n_shingles", "print1", "print2", *_SKETCH)
+_NUMBERS = ("id", "mark", "n_shingles", "print1", "print2")
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -86,22 +81,15 @@ def _bands(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
-    mixed = mix(values, 6)
-    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(bool), axis=1) for k in (0, 1)]
-    return np.concatenate(planes, axis=1).view(np.int64)
-
-
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Size, fingerprint, sketch and buckets of every row's shingle set."""
+    """Size, fingerprint and buckets of every row's shingle set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([x.encode() for x in batch.column(1).to_pylist()])
-        values = one_permutation(sets)
         sizes = np.array([len(x) for x in sets], np.int64)
         prints = [np.array([mix(x, k).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for k in (1, 2)]
-        bands = [list(b) if n else [] for b, n in zip(_bands(values).view(np.int64), sizes, strict=True)]
-        columns = [batch.column(0), batch.column(2), sizes, *prints, *_sketch(values).reshape(len(sets), 4).T]
+        bands = [list(b) if n else [] for b, n in zip(_bands(one_permutation(sets)).view(np.int64), sizes, strict=True)]
+        columns = [batch.column(0), batch.column(2), sizes, *prints]
         arrays = [x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in columns]
         names = [*_NUMBERS, "bands"]
         return pa.record_batch([*arrays, pa.array(bands, pa.list_(pa.int64()))], names)
@@ -141,21 +129,23 @@ def _differing(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
-def _maybe_similar(left: str, right: str, percent: int) -> Column:
-    """What sizes and sketches leave open."""
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _bitmaps_fit(left: str, right: str, percent: int) -> Column:
+    """What sizes and bitmaps leave open; neither rules out a similar pair."""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    bits = sum((_differing(F.col(f"{left}.{s}"), F.col(f"{right}.{s}")) for s in _SKETCH), F.lit(0))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (bits <= SKETCH_BITS)
+    words = range(BITMAP_BITS // 64)
+    bits = sum((_differing(F.col(f"{left}.bitmap")[k], F.col(f"{right}.bitmap")[k]) for k in words), F.lit(0))
+    return _sizes_fit(a, b, percent) & _similar((a + b - bits) / 2, a, b, percent)
 
 
 def _can_share(left: str, right: str, percent: int) -> Column:
     """Whether enough can be common, by the shingles found elsewhere and by the bitmaps."""
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
     common = F.least(f"{left}.elsewhere", f"{right}.elsewhere")
-    words = range(BITMAP_BITS // 64)
-    bits = sum((_differing(F.col(f"{left}.bitmap")[k], F.col(f"{right}.bitmap")[k]) for k in words), F.lit(0))
-    at_most = (a + b - bits) / 2
-    return _similar(common, a, b, percent) & _similar(at_most, a, b, percent)
+    return _similar(common, a, b, percent) & _bitmaps_fit(left, right, percent)
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -177,9 +167,9 @@ def link_table(
     classes = stored(
         rows.where("n_shingles > 0 AND id IS NOT NULL")
         .groupBy("print1", "print2")
-        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", *_SKETCH, "bands")))
+        .agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands")))
     )
-    marks = classes.select("id", "n_shingles", *_SKETCH)
+    marks = classes.select("id", "n_shingles")
     bands = classes.select("id", F.explode("bands").alias("bucket"))
     crowded = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(bands.join(crowded, "bucket"))
@@ -187,11 +177,11 @@ def link_table(
     rank = F.struct("weight", (-F.col("id")).alias("back")).alias("rank")
     hubs = members.join(weights, "id").select("bucket", rank).groupBy("bucket").agg((-F.max("rank")["back"]).alias("hub"))
     stars = members.join(hubs, "bucket").where("id <> hub").select("hub", "id").distinct()
-    named = stars.join(marks, "id").select("hub", F.struct("id", "n_shingles", *_SKETCH).alias("a"))
-    others = marks.select(F.col("id").alias("hub"), F.struct("n_shingles", *_SKETCH).alias("b"))
-    pairs = named.join(others, "hub").where(_maybe_similar("a", "b", percent))
-    pairs = stored(pairs.select("hub", F.col("a.id").alias("id")))
     sets = stored(_full_sets(docs, key, text, weights.select("id")))
+    known = marks.join(sets.select("id", "bitmap"), "id").select("id", F.struct("n_shingles", "bitmap").alias("a"))
+    others = known.select(F.col("id").alias("hub"), F.col("a").alias("b"))
+    pairs = stars.join(known, "id").join(others, "hub").where(_bitmaps_fit("a", "b", percent))
+    pairs = stored(pairs.select("hub", "id"))
     links = _confirmed(sets, pairs, percent)
     more = stored(_left_over(members, marks, sets, links, pairs, percent))
     if not more.isEmpty():
@@ -224,16 +214,16 @@ def _left_over(
     )
     elsewhere = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("elsewhere")
     known = marks.join(open_sets.select("id", "bitmap"), "id").join(alone, "id", "left")
-    known = known.select("id", "n_shingles", elsewhere, *_SKETCH, "bitmap")
+    known = known.select("id", "n_shingles", elsewhere, "bitmap")
     # The least another document must share: with one of ``percent`` of its size, all of that.
     known = known.where(100 * F.col("elsewhere") >= percent * F.col("n_shingles"))
-    x = F.struct("id", "component", "n_shingles", "elsewhere", *_SKETCH, "bitmap").alias("x")
+    x = F.struct("id", "component", "n_shingles", "elsewhere", "bitmap").alias("x")
     side = open_rows.join(known, "id").select("bucket", x)
     different = F.col("a.component") < F.col("b.component")
     pairs = (
         side.withColumnRenamed("x", "a")
         .join(side.withColumnRenamed("x", "b"), "bucket")
-        .where(different & _maybe_similar("a", "b", percent) & _can_share("a", "b", percent))
+        .where(different & _can_share("a", "b", percent))
         .select(F.col("a.id").alias("hub"), F.col("b.id").alias("id"))
         .distinct()
     )
