@@ -5,7 +5,10 @@ the containers around them. The first pass decides each block by itself:
 
 * ``BAD`` if a container says so (navigation, footer, form, a class or id such as ``ad`` or
   ``comments``), or if more than half of its signs are in links;
-* ``GOOD`` if it is long and dense in stop words, ``BAD`` if it is long and has hardly any;
+* ``GOOD`` if it is long and dense in stop words, ``BAD`` if it is long and has hardly any
+  while another block of the page is dense in them;
+* ``GOOD`` if it is long and has hardly any where no block is dense: the page is then in a
+  language that the stop words do not cover, and they say nothing about it;
 * otherwise it is left open, short blocks above all.
 
 The second pass gives each open block the label of its nearest decided neighbours: if they
@@ -38,6 +41,8 @@ LONG_CHARS = 70
 DENSE_SHARE = 0.3
 SPARSE_SHARE = 0.1
 BAD, OPEN, GOOD = -1, 0, 1
+#: Long with hardly any stop words: bad or good by what else the page holds.
+SPARSE = 2
 
 #: Tags that begin or end a block.
 BLOCK_TAGS = frozenset(
@@ -207,7 +212,7 @@ def _first_pass(block: Block) -> int:
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if share >= DENSE_SHARE:
         return GOOD
-    return BAD if share < SPARSE_SHARE and not block.article else OPEN
+    return SPARSE if share < SPARSE_SHARE and not block.article else OPEN
 
 
 def _second_pass(blocks: list[Block]) -> None:
@@ -233,6 +238,10 @@ def main_blocks(page: str | None) -> list[str]:
     blocks = read_blocks(page or "")
     for block in blocks:
         block.label = _first_pass(block)
+    sparse = BAD if any(b.label == GOOD for b in blocks) else GOOD
+    for block in blocks:
+        if block.label == SPARSE:
+            block.label = sparse
     inside = [b for b in blocks if b.article and not b.bad]
     around = [b for b in blocks if not b.article and not b.bad]
     _second_pass(inside)

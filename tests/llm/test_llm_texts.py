@@ -121,6 +121,14 @@ def test_main_text_of_pages(spark):
     assert found.limit(0).count() == 0
 
 
+def test_pages_in_languages_without_stop_words_keep_their_text():
+    polish = "Wczoraj wieczorem nad jeziorem zebrali się mieszkańcy wioski, żeby wspólnie obejrzeć zachód słońca"
+    chinese = "昨天晚上村民们聚集在湖边一起观看日落" * 5
+    for text in (polish, chinese):
+        page = f"<nav>{text}</nav><div><a href=x>{text}</a></div><div>{text}</div><p>{text}</p><p>x</p><footer>{text}</footer>"
+        assert main_text.main_blocks(page) == [text, text, "x"]
+
+
 def test_given_pages_keep_their_articles(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(40).collect()
     for page in pages:
