@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodrift.llm import bpe, decontamination, language, main_text, minhash, pii, quality, revisits, topk, toxicity
+from heliodrift.llm import (
+    bpe,
+    conversations,
+    decontamination,
+    exact_dedup,
+    language,
+    main_text,
+    minhash,
+    pii,
+    quality,
+    resampling,
+    revisits,
+    topk,
+    toxicity,
+)
 from heliodrift.llm.tables import stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,6 +95,23 @@ def op10_byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired at the least cost."""
+    damaged = conversations.damage(_table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(damaged, damaged["present"]))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for the text of every document."""
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the texts of ``benchmark``, and its rank if it is drawn."""
+    docs, target = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resampling.resample(docs, target).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_language": op2_language,
@@ -92,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_quality": op9_quality,
     "op10_byte_tokens": op10_byte_tokens,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_duplicates": op12_exact_duplicates,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": minhash.SQL,
     "op5_benchmark_passages": decontamination.SQL,
     "op6_top_inner_products": topk.SQL,
+    "op11_conversation_repair": conversations.SQL,
+    "op12_exact_duplicates": exact_dedup.SQL,
+    "op13_target_resampling": resampling.SQL,
 }
