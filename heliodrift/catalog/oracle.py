@@ -350,7 +350,7 @@ ORACLE_SQL: dict[str, str] = {
         round(stddev_samp({c}), 4) AS std, min({c}) AS min,
         round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
         round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM fc"""
-        for c in (*WEATHER, *POWER)
+        for c in (*WEATHER, *POWER, "DAILY_YIELD_forecasted", "TOTAL_YIELD_forecasted")
     ),
     "forecast_no_power_column": f"""WITH {_WEATHER_SERIES} SELECT {_KEYS}, {', '.join(WEATHER)},
       CAST(0 AS DOUBLE) AS DAILY_YIELD_forecasted, CAST(0 AS DOUBLE) AS TOTAL_YIELD_forecasted FROM near""",
@@ -369,3 +369,119 @@ ORACLE_SQL |= {
     "forest_lag_properties": _PROPERTIES,
     "weather_from_file": ORACLE_SQL["align_future_weather"],
 }
+
+
+def _steps_of(name: str, table: str, feature: str, target: str) -> str:
+    """``name``: the mean target of each value of a feature, and the inputs that a tree sends there.
+
+    Its thresholds lie half-way between neighbouring values; an input on one goes to the lower side.
+    """
+    return f"""{name} AS (
+  SELECT avg_target, coalesce((lag(v) OVER o + v) / 2, '-inf'::DOUBLE) AS lo,
+         coalesce((v + lead(v) OVER o) / 2, 'inf'::DOUBLE) AS hi
+  FROM (SELECT {feature} AS v, avg({target}) AS avg_target FROM {table} GROUP BY 1) WINDOW o AS (ORDER BY v))"""
+
+
+_CHAIN_OF_MEANS = f"""WITH {_FILLED},
+  cells AS (SELECT PLANT_ID, CAST(hour(DATE_TIME) AS INTEGER) AS hour, count(*) AS rows,
+            avg(AMBIENT_TEMPERATURE) AS ambient FROM filled GROUP BY 1, 2),
+  {_steps_of('module', 'filled', 'AMBIENT_TEMPERATURE', 'MODULE_TEMPERATURE')},
+  {_steps_of('power', 'filled', 'MODULE_TEMPERATURE', 'AC_POWER')}
+SELECT PLANT_ID, hour, rows, round(ambient, 6) AS AMBIENT_TEMPERATURE,
+  round(module.avg_target, 6) AS MODULE_TEMPERATURE, round(power.avg_target, 6) AS AC_POWER
+FROM cells JOIN module ON ambient > module.lo AND ambient <= module.hi
+JOIN power ON module.avg_target > power.lo AND module.avg_target <= power.hi"""
+
+_RECURSIVE_POWER = f"""WITH RECURSIVE {_FILLED}, {_raw_lags('filled', 'lagged', ('AC_POWER',), _BY_SOURCE)},
+  trained AS (SELECT {_KEYS}, AC_POWER, {_lag_columns(('AC_POWER',), _BY_SOURCE)} FROM lagged),
+  {_steps_of('tree', 'trained', 'AC_POWER_lag_4', 'AC_POWER')},
+  ends AS (
+    SELECT PLANT_ID, SOURCE_KEY, AC_POWER,
+      row_number() OVER ({_BY_SOURCE} ORDER BY DATE_TIME DESC) AS back FROM filled QUALIFY back <= 4),
+  blocks AS (
+    SELECT PLANT_ID, SOURCE_KEY, CAST(4 - back AS INTEGER) AS step, AC_POWER AS lag_4, avg_target AS power
+    FROM ends JOIN tree ON AC_POWER > lo AND AC_POWER <= hi
+    UNION ALL
+    SELECT PLANT_ID, SOURCE_KEY, CAST(step + 4 AS INTEGER), power, avg_target
+    FROM blocks JOIN tree ON power > lo AND power <= hi WHERE step + 4 < 96)
+SELECT (SELECT max(DATE_TIME) FROM filled) + INTERVAL 15 MINUTE * (step + 1) AS DATE_TIME, PLANT_ID, SOURCE_KEY, step,
+  round(lag_4, 6) AS AC_POWER_lag_4, round(power, 6) AS AC_POWER FROM blocks"""
+
+
+def _nearest_event(match: str, order: str) -> str:
+    return f"""WITH w AS (SELECT event_id, ts AS DATE_TIME, CAST({_PLANT} AS INTEGER) AS PLANT_ID, {_SOURCE} AS SOURCE_KEY
+    FROM events WHERE event_type <> 'error'),
+  r AS (SELECT event_id AS reading_id, ts, CAST({_PLANT} AS INTEGER) AS plant, {_K} / 4 AS AMBIENT_TEMPERATURE,
+    value AS IRRADIATION FROM events WHERE event_type = 'error')
+SELECT w.*, r.ts AS DATE_TIME_found, reading_id, AMBIENT_TEMPERATURE, IRRADIATION
+FROM w LEFT JOIN r ON w.PLANT_ID = r.plant AND {match}
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {order}) = 1"""
+
+
+_OFF = "abs(epoch_us(r.ts) - epoch_us(w.DATE_TIME))"
+_NEARER = f"{_OFF}, r.ts DESC, CASE WHEN r.ts >= w.DATE_TIME THEN reading_id ELSE -reading_id END"
+
+_LINE_TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+_LINE_K = "coalesce(json_extract_string(props, '$.k'), '')"
+_LINES = f"""WITH e AS (
+  SELECT event_id % 7 AS shape, event_id, CASE event_id % 7 WHEN 4 THEN 't' || event_id ELSE {_LINE_TIME} END AS t,
+    CASE event_id % 7 WHEN 5 THEN '4135001.5' ELSE '4135001' END AS p,
+    CASE event_id % 7 WHEN 1 THEN NULL ELSE 'INV' || event_id END AS s, {_LINE_K} AS k FROM events),
+lost AS (
+  SELECT t AS DATE_TIME, p AS PLANT_ID, s AS SOURCE_KEY, 'AC_POWER' AS "column", 'bad' || event_id AS value, 'not a number' AS reason
+    FROM e WHERE shape = 3
+  UNION ALL SELECT t, p, s, 'DATE_TIME', t, 'unreadable time' FROM e WHERE shape = 4
+  UNION ALL SELECT t, p, s, 'PLANT_ID', p, 'not a whole number' FROM e WHERE shape = 5
+  UNION ALL SELECT t, p, s, 'SOURCE_KEY', NULL, 'missing key' FROM e WHERE shape = 1
+  UNION ALL SELECT NULL, NULL, NULL, NULL, concat_ws(',', t, p, s, k, k, 'more'), 'wrong number of fields' FROM e WHERE shape = 6)"""
+
+_FOLDS = f"""{_FILLED}, aged AS (
+    SELECT *, epoch_us((SELECT max(DATE_TIME) FROM filled)) - epoch_us(DATE_TIME) AS age FROM filled),
+  placed AS (SELECT *, CAST(floor(age / 172800000000) AS INTEGER) AS fold FROM aged),
+  wanted AS (
+    SELECT *, DATE_TIME - INTERVAL 1 DAY * CAST(ceil(((fold + 1) * 172800000000 - age) / 86400000000) AS INTEGER) AS wanted_time
+    FROM placed),
+  guessed AS (
+    SELECT w.fold, {', '.join(f'w.{c} AS {c}_truth, k.{c} AS {c}' for c in WEATHER + POWER)}
+    FROM wanted w LEFT JOIN placed k
+      ON w.PLANT_ID = k.PLANT_ID AND w.SOURCE_KEY = k.SOURCE_KEY AND k.fold = w.fold + 1
+    QUALIFY row_number() OVER (PARTITION BY w.PLANT_ID, w.SOURCE_KEY, w.DATE_TIME
+      ORDER BY abs(epoch_us(k.DATE_TIME) - epoch_us(w.wanted_time)), k.DATE_TIME DESC) = 1),
+  pairs AS ({' UNION ALL '.join(f"""SELECT fold, '{c}' AS "column", CASE WHEN {c} IS NOT NULL THEN {c}_truth END AS truth,
+    {c} - {c}_truth AS off FROM guessed""" for c in WEATHER + POWER)})"""
+
+
+def _digest_bits(tree: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {tree}, {_KEYS})), 1, 8) AS BIGINT)"
+
+
+# Fixed value: the share of the draws that are of no copy, of 2**32.
+_UNSEEN = 1580030168
+ORACLE_SQL |= {
+    "saved_chain_of_means": _CHAIN_OF_MEANS,
+    "recursive_power": _RECURSIVE_POWER,
+    "nearest_weather": _nearest_event(f"{_OFF} <= 1800000000", _NEARER),
+    "nearest_weather_by_hour": _nearest_event("true", _NEARER),
+    "weather_before": _nearest_event("r.ts <= w.DATE_TIME", "r.ts DESC, reading_id DESC"),
+    "rejected_cells": f"{_LINES} SELECT * FROM lost",
+    "rejected_counts": f"""{_LINES} SELECT "column", reason, count(*) AS rows FROM lost GROUP BY 1, 2
+      UNION ALL SELECT '(readings)', CASE shape WHEN 4 THEN 'without time' ELSE 'with time' END, count(*)
+      FROM e WHERE shape <> 6 GROUP BY 2""",
+    "stage_counts_observed": f"""WITH {_RAW}, kept AS (SELECT * EXCLUDE (event_type) FROM raw),
+      once AS (SELECT DISTINCT * FROM kept)
+      SELECT CAST(1 AS INTEGER) AS stage_no, 'loaded' AS stage, count(*) AS rows, CAST(5 AS BIGINT) AS columns FROM kept
+      UNION ALL SELECT 2, 'parsed', count(*), 5 FROM kept WHERE DATE_TIME IS NOT NULL
+      UNION ALL SELECT 3, 'distinct', count(*), 5 FROM once
+      UNION ALL SELECT 4, 'filled', count(*), 5 FROM once WHERE PLANT_ID IS NOT NULL AND SOURCE_KEY IS NOT NULL""",
+    "rolling_origin_scores": f"""WITH {_FOLDS}
+      SELECT "column", fold, count(off) AS rows, count(*) - count(off) AS unscored, round(avg(abs(off)), 6) AS mae,
+        round(avg(off * off), 6) AS mse,
+        round(CASE WHEN var_pop(truth) > 0 THEN 1 - sum(off * off) / (var_pop(truth) * count(truth)) END, 6) AS r2
+      FROM pairs GROUP BY GROUPING SETS (("column", fold), ("column"))""",
+    "history_store_reload": f"""WITH {_GEN}, latest AS (SELECT CAST(max(DATE_TIME) AS DATE) AS day FROM gen)
+      SELECT {_KEYS}, DC_POWER, CASE WHEN CAST(DATE_TIME AS DATE) = day THEN AC_POWER + 1 ELSE AC_POWER END AS AC_POWER,
+        DAILY_YIELD, TOTAL_YIELD FROM gen, latest WHERE CAST(DATE_TIME AS DATE) >= day - 2""",
+    "out_of_bag_rows": f"""WITH {_FILLED} SELECT {_KEYS},
+      CAST(list_sum([CASE WHEN {_digest_bits('t')} < {_UNSEEN} THEN 1 ELSE 0 END FOR t IN range(150)]) AS INTEGER) AS oob_trees,
+      true AS predicted FROM filled""",
+}

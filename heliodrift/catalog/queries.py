@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliodrift.catalog import views
 from heliodrift.functions.calendar import (
@@ -20,10 +20,13 @@ from heliodrift.functions.calendar import (
 )
 from heliodrift.functions.measures import INTERACTION, clamp_at_zero, energy
 from heliodrift.functions.parsing import lenient_number, parse_time, parse_time_format
+from heliodrift.operators.asof import nearest_rows
 from heliodrift.operators.combine import drop_duplicates, union_plants
 from heliodrift.operators.describe import describe
 from heliodrift.operators.encode import (
+    Scaler,
     category_map,
+    fit_entity_encoder,
     fit_scaler,
     one_hot,
     scalable_columns,
@@ -31,6 +34,7 @@ from heliodrift.operators.encode import (
 from heliodrift.operators.layout import MAX_SEGMENT_ROWS, choose_cell
 from heliodrift.operators.nearest import persist_last, persist_nearest
 from heliodrift.operators.profile import (
+    StageCounts,
     at_latest,
     daily_totals,
     distinct_counts,
@@ -46,15 +50,21 @@ from heliodrift.operators.profile import (
     yield_over_time,
 )
 from heliodrift.operators.sequences import lag_mean_names, lags_and_means, running_total
-from heliodrift.operators.spine import entity_spine, future_spine
+from heliodrift.operators.spine import STEP, entity_spine, future_spine
 from heliodrift.plans.clean import clean, fill_measures, with_parsed_time
-from heliodrift.plans.features import future_features, time_features
+from heliodrift.plans import registry
+from heliodrift.plans.evaluation import fold_scores, rolling_persistence
+from heliodrift.plans.features import future_features, history_features, time_features
 from heliodrift.plans.forests import (
     CHAIN_PROFILE,
     LAG_PROFILE,
+    ModelSet,
     chain_forecast,
     holdout_r2,
+    lag_features,
     lag_forecast,
+    out_of_bag_scores,
+    predict_chain,
     train_target,
     training_frame,
 )
@@ -63,6 +73,7 @@ from heliodrift.plans.persistence import (
     persistence_forecast,
     persistence_weather,
 )
+from heliodrift.plans.recursive import last_values, predict_blocks
 from heliodrift.plans.reports import (
     CHAIN_CONTEXT_ROWS,
     LAG_CONTEXT_ROWS,
@@ -71,6 +82,7 @@ from heliodrift.plans.reports import (
 )
 from heliodrift.schemas import (
     COMBINED_SCHEMA,
+    DAILY_FORECAST,
     ENTITY,
     GENERATION_SCHEMA,
     MEASURES,
@@ -79,17 +91,21 @@ from heliodrift.schemas import (
     POWER,
     SOURCE,
     TIME,
+    TOTAL_FORECAST,
     WEATHER,
 )
-from heliodrift.session import shared_folder
+from heliodrift.session import scratch_path, shared_folder
 from heliodrift.sources.csv_files import (
     preview_columns,
     read_generation,
     read_inferred,
     read_readings,
     write_csv,
+    write_parquet,
 )
 from heliodrift.sources.future_weather import align_weather, load_future_weather
+from heliodrift.sources.history_store import read_last_days, write_days
+from heliodrift.sources.rejects import read_with_rejects, reject_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,7 +140,7 @@ def preview_nine_columns(spark, sf_dir):
 
 def csv_round_trip(spark, sf_dir):
     """Write the generation readings as CSV and read them back."""
-    path = f"{shared_folder(spark)}/generation-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "generation")
     write_csv(views.generation(spark, sf_dir), path)
     return read_generation(spark, path, times="strict")
 
@@ -450,7 +466,7 @@ def clean_parity(spark, sf_dir):
 
 def mixed_headers(spark, sf_dir):
     """Files of two column orders in one folder, read by name."""
-    path = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "mixed")
     gen = views.generation(spark, sf_dir)
     odd = F.col(PLANT) % 2 == 1
     write_csv(gen.where(odd), f"{path}/order=1")
@@ -460,7 +476,7 @@ def mixed_headers(spark, sf_dir):
 
 def inferred_preview(spark, sf_dir):
     """The combined readings from a file with inferred types, before the projection."""
-    path = f"{shared_folder(spark)}/combined-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "combined")
     write_csv(views.combined(spark, sf_dir), path)
     table = read_inferred(spark, path)
     typed = table.withColumn(TIME, F.col(TIME).cast("timestamp_ntz"))
@@ -468,7 +484,7 @@ def inferred_preview(spark, sf_dir):
 
 
 def describe_forecast(spark, sf_dir):
-    columns = (*WEATHER, *POWER)
+    columns = (*WEATHER, *POWER, DAILY_FORECAST, TOTAL_FORECAST)
     table = describe(forecast_yields(spark, sf_dir), columns)
     return _rounded(_rounded(table, 4, "mean", "std"), 6, "p25", "p50", "p75")
 
@@ -483,7 +499,7 @@ def forecast_no_power_column(spark, sf_dir):
 
 def weather_from_file(spark, sf_dir):
     """Future weather that a file gives, on the grid."""
-    path = f"{shared_folder(spark)}/future-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "future")
     write_csv(_shifted_weather(spark, sf_dir), path)
     return load_future_weather(spark, future_spine(views.generation(spark, sf_dir)), path).frame
 
@@ -555,6 +571,153 @@ def forest_holdout_r2(spark, sf_dir):
     return holdout_r2(_history(spark, sf_dir), CHAIN_PROFILE)
 
 
+# One unbounded tree, which predicts the mean of the rows that agree in its feature.
+_MEANS = replace(CHAIN_PROFILE, trees=1, depth=30, min_leaf=1, bootstrap=False)
+_UNSCALED = Scaler({}, {})
+
+
+def saved_chain_of_means(spark, sf_dir):
+    """A chain of three such trees, saved and loaded; each prediction feeds the next one.
+
+    The month, a feature without a split, is absent from the cells and counts as 0.
+    """
+    chain = {
+        "AMBIENT_TEMPERATURE": (PLANT, "hour", "month"),
+        "MODULE_TEMPERATURE": ("AMBIENT_TEMPERATURE", "month"),
+        "AC_POWER": ("MODULE_TEMPERATURE",),
+    }
+    timed = time_features(_filled_by_source(spark, sf_dir), cyclical=False)
+    frame = training_frame(timed.select(*ORDER, "hour", "month", *chain))
+    models = {t: train_target(frame, t, names, _MEANS, _UNSCALED) for t, names in chain.items()}
+    folder = scratch_path(spark, "models")
+    registry.save(spark, ModelSet("means", models, fit_entity_encoder(frame)), folder)
+    loaded = registry.load(spark, folder)
+    cells = frame.groupBy(PLANT, "hour").agg(F.count("*").alias("rows"))
+    return _rounded(predict_chain(cells, loaded.models, tuple(chain)), 6, *chain)
+
+
+def recursive_power(spark, sf_dir):
+    """A day of power by such a tree on the lag of four steps, which is its own forecast."""
+    history = _written_history(spark, sf_dir)
+    lagged = lags_and_means(history, ("AC_POWER",), null_free=True, cell=views.BY_SOURCE)
+    frame = training_frame(lagged.select(*ORDER, "AC_POWER", "AC_POWER_lag_4"))
+    model = train_target(frame, "AC_POWER", ("AC_POWER_lag_4",), _MEANS, _UNSCALED)
+    grid = entity_spine(history).select(*ORDER, STEP)
+    past = last_values(history, ("AC_POWER",))
+    forecast = predict_blocks(grid, past, {"AC_POWER": model}, ("AC_POWER",))
+    return _rounded(forecast.select(*ORDER, STEP, "AC_POWER_lag_4", "AC_POWER"), 6, "AC_POWER_lag_4", "AC_POWER")
+
+
+def _nearest_weather(spark, sf_dir, **how):
+    return nearest_rows(
+        views.generation_events(spark, sf_dir),
+        views.weather_events(spark, sf_dir),
+        ("reading_id", "AMBIENT_TEMPERATURE", "IRRADIATION"),
+        (PLANT,),
+        order=("reading_id",),
+        **how,
+    )
+
+
+def nearest_weather(spark, sf_dir):
+    """The weather reading nearest to every generation event, half an hour off at most."""
+    return _nearest_weather(spark, sf_dir, tolerance=1_800)
+
+
+def nearest_weather_by_hour(spark, sf_dir):
+    """The same without a bound, over segments of an hour."""
+    return _nearest_weather(spark, sf_dir, cell="HOUR")
+
+
+def weather_before(spark, sf_dir):
+    """The last weather reading up to every generation event."""
+    return _nearest_weather(spark, sf_dir, direction="backward")
+
+
+_REJECT_SCHEMA = T.StructType([GENERATION_SCHEMA[c] for c in (*ORDER, *POWER)])
+
+
+def _faulty_lines(spark, sf_dir):
+    """Events as lines of a CSV file, six of seven with something that can't be read as it should."""
+    shape, name = F.col("event_id") % 7, F.col("event_id").cast("string")
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
+    fields = [
+        F.when(shape == 4, F.concat(F.lit("t"), name)).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        F.when(shape == 5, "4135001.5").otherwise("4135001"),
+        F.when(shape == 1, "").otherwise(F.concat(F.lit("INV"), name)),
+        F.when(shape == 2, "nan").otherwise(k),
+        F.when(shape == 3, F.concat(F.lit("bad"), name)).when(shape == 6, F.concat(k, F.lit(",more"))).otherwise(k),
+    ]
+    return views.events(spark, sf_dir).select(F.concat_ws(",", *fields).alias(",".join(_REJECT_SCHEMA.fieldNames())))
+
+
+def _parsed_lines(spark, sf_dir):
+    path = scratch_path(spark, "faulty")
+    # A separator that the lines don't hold leaves their commas alone.
+    _faulty_lines(spark, sf_dir).write.option("header", True).option("sep", "\x01").csv(path)
+    return read_with_rejects(spark, path, _REJECT_SCHEMA)
+
+
+def rejected_cells(spark, sf_dir):
+    """Each cell and record that was not read, with its text and the reason."""
+    return _parsed_lines(spark, sf_dir).rejects
+
+
+def rejected_counts(spark, sf_dir):
+    """The same counted, beside the readings that are left."""
+    parsed = _parsed_lines(spark, sf_dir)
+    read = parsed.frame.select(
+        F.lit("(readings)").alias("column"),
+        F.when(F.col(TIME).isNull(), "without time").otherwise("with time").alias("reason"),
+    )
+    return reject_counts(parsed.rejects).unionByName(reject_counts(read))
+
+
+def stage_counts_observed(spark, sf_dir):
+    """Rows after each step of cleaning, counted by the job that writes the result."""
+    stages = StageCounts()
+    raw = views.raw_generation(spark, sf_dir).drop("event_type")
+    cleaned = clean(raw, cell=views.BY_SOURCE, stages=stages)
+    write_parquet(cleaned, scratch_path(spark, "cleaned"))
+    return stages.table(spark)
+
+
+def rolling_origin_scores(spark, sf_dir):
+    """Persistence scored over every 48 hours of the history, forecast from what was known before."""
+    forecasts = rolling_persistence(_filled_by_source(spark, sf_dir), cell=views.BY_SOURCE)
+    return _rounded(fold_scores(forecasts), 6, "mae", "mse", "r2")
+
+
+def history_store_reload(spark, sf_dir):
+    """All readings stored by day, the last day loaded again with other values, three days read."""
+    path = scratch_path(spark, "history")
+    gen = views.generation(spark, sf_dir)
+    write_days(gen, path)
+    last_day = F.to_date(TIME) == gen.select(F.to_date(F.max(TIME))).scalar()
+    write_days(gen.where(last_day).withColumn("AC_POWER", F.col("AC_POWER") + 1), path)
+    return read_last_days(spark, path, GENERATION_SCHEMA, 3)
+
+
+def _power_frame(spark, sf_dir):
+    frame = training_frame(history_features(_filled_by_source(spark, sf_dir), cell=views.BY_SOURCE))
+    encoder = fit_entity_encoder(frame)
+    return encoder.transform(frame), lag_features(encoder.names)
+
+
+def out_of_bag_rows(spark, sf_dir):
+    """Every row with the number of trees, of the 150 for DC power, that have not seen it."""
+    frame, features = _power_frame(spark, sf_dir)
+    _, scored = out_of_bag_scores(frame, {"DC_POWER": features["DC_POWER"]})
+    return scored["DC_POWER"].select(
+        *ORDER, "oob_trees", F.col("__prediction").isNotNull().alias("predicted")
+    )
+
+
+def out_of_bag_r2(spark, sf_dir):
+    """R2 of both powers, each row predicted by the trees that have not seen it."""
+    return out_of_bag_scores(*_power_frame(spark, sf_dir))[0]
+
+
 QUERIES: dict[str, Query] = {
     "combine_generation_weather": combine_generation_weather,
     "preview_nine_columns": preview_nine_columns,
@@ -616,4 +779,16 @@ QUERIES: dict[str, Query] = {
     "forest_group_means": forest_group_means,
     "forest_chain_properties": forest_chain_properties,
     "forest_lag_properties": forest_lag_properties,
+    "saved_chain_of_means": saved_chain_of_means,
+    "recursive_power": recursive_power,
+    "nearest_weather": nearest_weather,
+    "nearest_weather_by_hour": nearest_weather_by_hour,
+    "weather_before": weather_before,
+    "rejected_cells": rejected_cells,
+    "rejected_counts": rejected_counts,
+    "stage_counts_observed": stage_counts_observed,
+    "rolling_origin_scores": rolling_origin_scores,
+    "history_store_reload": history_store_reload,
+    "out_of_bag_rows": out_of_bag_rows,
+    "out_of_bag_r2": out_of_bag_r2,
 }

@@ -101,6 +101,30 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.drop("__day")
 
 
+def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation readings at their own, irregular times."""
+    return (
+        events(spark, sf_dir)
+        .where("event_type <> 'error'")
+        .select("event_id", F.col("ts").alias(TIME), _plant(), _source())
+    )
+
+
+def weather_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather readings at their own, irregular times, some of them at the same one."""
+    return (
+        events(spark, sf_dir)
+        .where("event_type = 'error'")
+        .select(
+            F.col("event_id").alias("reading_id"),
+            F.col("ts").alias(TIME),
+            _plant(),
+            (_k() / 4).alias("AMBIENT_TEMPERATURE"),
+            F.col("value").alias("IRRADIATION"),
+        )
+    )
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         events(spark, sf_dir)

@@ -104,7 +104,8 @@ def lay_out(
         cell = choose_cell(df, by, order, max_rows)
     if cell == "RANGE":
         return _range_layout(tied, by, order, max_rows)
-    frame = tied.withColumn(SEGMENT, cell_number(cell, order[0])).withColumn(
+    kind = df.schema[order[0]].dataType.typeName()
+    frame = tied.withColumn(SEGMENT, cell_number(cell, order[0], kind)).withColumn(
         GROUP, _group(by)
     )
     return Layout(frame, by, order + (TIE,), cell)
@@ -113,31 +114,53 @@ def lay_out(
 def choose_cell(
     df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int
 ) -> str:
-    """The coarsest cell whose fullest segment has at most ``max_rows`` rows."""
+    """The coarsest cell whose fullest segment has at most ``max_rows`` rows.
+
+    One pass counts the days, which add up to the whole series; only if no day fits, a
+    second one counts the minutes, which add up to the hours.
+    """
+    time = order[0]
+    kind = df.schema[time].dataType.typeName()
+    if kind not in ("timestamp_ntz", "timestamp"):
+        # Without a time the whole series is the only cell, and never that of a whole table.
+        if by and _fullest(df, by, F.lit(0), F.lit(0))[0] <= max_rows:
+            return "WHOLE"
+        return "RANGE"
     # One series over the whole table is never one window, whatever its size.
-    cells = CELLS if by else CELLS[1:]
-    if df.schema[order[0]].dataType.typeName() != "timestamp_ntz":
-        cells = CELLS[:1] if by else ()
-    for cell in cells:
-        counts = df.groupBy(*by, cell_number(cell, order[0]).alias(SEGMENT)).count()
-        fullest = counts.agg(F.max("count")).first()[0] or 0
-        if fullest <= max_rows:
-            return cell
-    return "RANGE"
-
-
-def cell_number(cell: str, time: str = TIME) -> Column:
+    whole, day = _fullest(df, by, F.lit(0), cell_number("DAY", time, kind))
+    if by and whole <= max_rows:
+        return "WHOLE"
+    if day <= max_rows:
+        return "DAY"
+    hour, minute = _fullest(df, by, cell_number("HOUR", time, kind), cell_number("MINUTE", time, kind))
+    return "HOUR" if hour <= max_rows else "MINUTE" if minute <= max_rows else "RANGE"
+
+
+def _fullest(df: DataFrame, by: Sequence[str], coarse: Column, fine: Column) -> tuple[int, int]:
+    """Rows of the fullest coarse and of the fullest fine cell, from one count of the fine ones."""
+    counts = df.groupBy(*by, coarse.alias("__coarse"), fine.alias("__fine")).count()
+    sums = counts.groupBy(*by, "__coarse").agg(F.sum("count").alias("rows"), F.max("count").alias("most"))
+    row = sums.agg(F.max("rows"), F.max("most")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def cell_number(cell: str, time: str = TIME, kind: str = "timestamp_ntz") -> Column:
     """A whole number that grows with time, without the session time zone.
 
     Rows without a time come first, as they do in the total order.
     """
     if cell == "WHOLE":
         return F.lit(0).cast("bigint")
-    number = F.unix_date(F.to_date(time)).cast("bigint")
-    if cell in ("HOUR", "MINUTE"):
-        number = number * 24 + F.hour(time)
-    if cell == "MINUTE":
-        number = number * 60 + F.minute(time)
+    if kind == "timestamp":
+        # Seconds since the epoch grow where the clock of a zone is put back.
+        seconds = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60}[cell]
+        number = F.floor(F.unix_seconds(time) / seconds)
+    else:
+        number = F.unix_date(F.to_date(time)).cast("bigint")
+        if cell in ("HOUR", "MINUTE"):
+            number = number * 24 + F.hour(time)
+        if cell == "MINUTE":
+            number = number * 60 + F.minute(time)
     return F.coalesce(number, F.lit(_NO_TIME).cast("bigint"))
 
 

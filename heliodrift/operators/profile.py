@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliodrift.functions.calendar import seconds_between
@@ -66,6 +66,32 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+class StageCounts:
+    """Rows of each stage of a job, counted by the job itself instead of by a scan of their own.
+
+    ``watch`` puts a counter on a frame; what is built on the frame it returns counts as it
+    runs. Once an action has run the last stage, ``table`` holds what :func:`stage_counts` would.
+    A counter keeps what the first action over its frame saw, and a stage that is run again
+    after an executor was lost can count twice; for numbers that must not, use that function.
+    """
+
+    def __init__(self) -> None:
+        self._stages: list[tuple[str, int, Observation]] = []
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"{len(self._stages)} {name}")
+        self._stages.append((name, len(df.columns), seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row for each stage; waits for the action that runs them."""
+        rows = [
+            (number, name, seen.get["rows"], columns)
+            for number, (name, columns, seen) in enumerate(self._stages, 1)
+        ]
+        return spark.createDataFrame(rows, "stage_no int, stage string, rows bigint, columns bigint")
+
+
 def over_two_values(
     df: DataFrame, columns: Sequence[str]
 ) -> dict[str, tuple[bool, bool]]:

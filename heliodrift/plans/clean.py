@@ -11,6 +11,7 @@ from heliodrift.functions.parsing import lenient_number, nan_to_null, parse_time
 from heliodrift.operators.columns import check_columns, drop_null_keys, require_rows
 from heliodrift.operators.combine import drop_duplicates
 from heliodrift.operators.layout import MAX_SEGMENT_ROWS, choose_cell
+from heliodrift.operators.profile import StageCounts
 from heliodrift.operators.sequences import fill
 from heliodrift.schemas import ENTITY, MEASURES, ORDER, TIME
 
@@ -56,6 +57,7 @@ def clean(
     max_rows: int = MAX_SEGMENT_ROWS,
     cell: str | None = None,
     guard: bool = False,
+    stages: StageCounts | None = None,
 ) -> DataFrame:
     """Parse times, drop duplicates, fill. ``by=()`` fills over all series at once.
 
@@ -63,12 +65,18 @@ def clean(
     its neighbour's value. ``guard`` raises if no row is left, at the cost of a look.
 
     The split is chosen before duplicates go, on the cheaper frame; dropping rows can
-    only make segments smaller.
+    only make segments smaller. ``stages`` counts the rows of each step as the job runs.
     """
     parsed = with_parsed_time(df)
     if cell is None:
         order = tuple(c for c in ORDER if c not in by)
         cell = choose_cell(parsed, by, order, max_rows)
+    if stages:
+        parsed = stages.watch("parsed", with_parsed_time(stages.watch("loaded", df)))
     unique = drop_duplicates(parsed, include_time)
+    if stages:
+        unique = stages.watch("distinct", unique)
     filled = fill_measures(unique, by=by, max_rows=max_rows, cell=cell)
+    if stages:
+        filled = stages.watch("filled", filled)
     return require_rows(filled) if guard else filled

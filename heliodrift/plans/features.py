@@ -45,15 +45,18 @@ def future_features(
     With ``history`` the last rows of each series go first and the lags are real.
     """
     columns = existing(future, WEATHER)
-    # A grid has one row per series and step; at most 2 x HORIZON with history.
+    # A series of the grid has one row per step, at most 2 x HORIZON with history. Over all
+    # series at once (``by=()``) rows go by the total order, and the split is counted.
+    rest = [c for c in ENTITY if c not in by and c in future.columns]
+    cell = "WHOLE" if by else None
     if history is None:
-        lagged = lags_and_means(future, columns, by, (TIME,), cell="WHOLE")
+        lagged = lags_and_means(future, columns, by, (TIME, *rest), cell=cell)
         return time_features(lagged)
     before = _last_rows_of_each(history, by, max(max(LAGS), HORIZON))
-    both = before.select(*by, TIME, *columns, _PLACE).unionByName(
+    both = before.select(*by, *rest, TIME, *columns, _PLACE).unionByName(
         future.withColumn(_PLACE, F.lit(1)), allowMissingColumns=True
     )
-    lagged = lags_and_means(both, columns, by, (TIME, _PLACE), cell="WHOLE")
+    lagged = lags_and_means(both, columns, by, (TIME, _PLACE, *rest), cell=cell)
     return time_features(lagged.where(F.col(_PLACE) == 1).drop(_PLACE))
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from heliodrift.operators.columns import (
     numeric_columns,
 )
 from heliodrift.operators.encode import (
+    EntityEncoder,
     Scaler,
     fit_entity_encoder,
     fit_scaler,
@@ -27,6 +27,7 @@ from heliodrift.operators.encode import (
 )
 from heliodrift.operators.sequences import lag_mean_names
 from heliodrift.operators.spine import entity_spine
+from heliodrift.plans.ensembles import Ensemble, fit_drawn, fit_groups, fit_quality, out_of_bag, side_by_side
 from heliodrift.plans.features import future_features, history_features, time_features
 from heliodrift.plans.persistence import (
     FORECAST_COLUMNS,
@@ -43,6 +44,8 @@ _VECTOR = "__features"
 # bounded number on large ones.
 _SMALL_TASK_ROWS, _SMALL_TASKS = 1_000, 64
 _TASK_ROWS = 200_000
+# Fits that run at the same time; each waits for the result of every level.
+FIT_THREADS = 4
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,8 @@ class ForestProfile:
     bootstrap: bool = True
     # Split statistics a task may hold; more means fewer passes over the data.
     memory_mb: int = 256
+    # Trees fitted together; None fits all at once.
+    group_trees: int | None = None
 
 
 # Split needs 10 rows: the nearest setting is a leaf of 5.
@@ -93,7 +98,7 @@ class TargetModel:
     target: str
     features: tuple[str, ...]
     scaler: Scaler
-    forest: RandomForestRegressionModel
+    forest: Ensemble
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add (or replace) the target; features that are absent count as 0."""
@@ -146,8 +151,13 @@ def train_target(
     features: Sequence[str],
     profile: ForestProfile,
     scaler: Scaler | None = None,
+    folder: str | None = None,
+    threads: int = 1,
 ) -> TargetModel | None:
-    """Fit one forest, or return None when columns or rows are lacking."""
+    """Fit one forest, or return None when columns or rows are lacking.
+
+    ``folder`` keeps groups of trees as they are ready, see :func:`fit_groups`.
+    """
     features = existing(frame, features)
     if target not in frame.columns or not features:
         return None
@@ -155,26 +165,17 @@ def train_target(
         return None
     if scaler is None:
         scaler = scaler_for(frame, features, profile)
-    scaler = Scaler(
+    scaler = _only(scaler, features)
+    data = _assembled(frame, features, scaler).select(_VECTOR, F.col(target))
+    forest = fit_groups(data, _VECTOR, target, profile, folder, threads)
+    return TargetModel(target, tuple(features), scaler, forest)
+
+
+def _only(scaler: Scaler, features: Sequence[str]) -> Scaler:
+    return Scaler(
         {c: m for c, m in scaler.means.items() if c in features},
         {c: s for c, s in scaler.deviations.items() if c in features},
     )
-    forest = RandomForestRegressor(
-        featuresCol=_VECTOR,
-        labelCol=target,
-        predictionCol="__prediction",
-        numTrees=profile.trees,
-        maxDepth=profile.depth,
-        minInstancesPerNode=profile.min_leaf,
-        featureSubsetStrategy="all",
-        bootstrap=profile.bootstrap,
-        subsamplingRate=1.0,
-        maxBins=profile.bins,
-        seed=profile.seed,
-        maxMemoryInMB=profile.memory_mb,
-    )
-    data = _assembled(frame, features, scaler).select(_VECTOR, F.col(target))
-    return TargetModel(target, tuple(features), scaler, forest.fit(data))
 
 
 def scaler_for(
@@ -203,16 +204,25 @@ def lag_features(dummies: Sequence[str]) -> dict[str, list[str]]:
 
 
 def train_chain(
-    frame: DataFrame, features: dict[str, list[str]], profile: ForestProfile
+    frame: DataFrame,
+    features: dict[str, list[str]],
+    profile: ForestProfile,
+    folder: str | None = None,
+    threads: int = FIT_THREADS,
 ) -> dict[str, TargetModel]:
-    """A forest per target, on the actual values of earlier targets."""
+    """A forest per target, on the actual values of earlier targets.
+
+    So no target waits for another one: they are fitted side by side.
+    """
     every = sorted({c for names in features.values() for c in names})
     scaler = scaler_for(frame, every, profile)
-    models = {
-        target: train_target(frame, target, names, profile, scaler)
-        for target, names in features.items()
-    }
-    return {target: model for target, model in models.items() if model}
+    models = side_by_side(
+        frame.sparkSession,
+        lambda target: train_target(frame, target, features[target], profile, scaler, folder),
+        list(features),
+        threads,
+    )
+    return {target: model for target, model in zip(features, models, strict=True) if model}
 
 
 def predict_chain(
@@ -229,64 +239,152 @@ def predict_chain(
     return future
 
 
-def chain_forecast(
+@dataclass(frozen=True)
+class ModelSet:
+    """What a forecast needs besides the history: fitted forests and the encoding of the keys."""
+
+    kind: str  # "chain" or "lag"
+    models: dict[str, TargetModel]
+    encoder: EntityEncoder
+
+
+def fit_chain(
+    history: DataFrame, profile: ForestProfile = CHAIN_PROFILE, folder: str | None = None
+) -> ModelSet:
+    """Forests of weather, then power, of a clean history."""
+    return _fit_chain(training_frame(time_features(history, cyclical=False)), profile, folder)
+
+
+def _fit_chain(frame: DataFrame, profile: ForestProfile, folder: str | None) -> ModelSet:
+    encoder = fit_entity_encoder(frame)
+    models = train_chain(encoder.transform(frame), chain_features(encoder.names), profile, folder)
+    return ModelSet("chain", models, encoder)
+
+
+def forecast_chain(
     history: DataFrame,
-    profile: ForestProfile = CHAIN_PROFILE,
+    fitted: ModelSet,
     entities: str = "all",
     targets: Sequence[str] = DEPENDENCY_ORDER,
 ) -> DataFrame:
-    """Forecast weather, then power, then yields, of a clean history.
+    """Forecast weather, then power, then yields, with models fitted now or before.
 
     Weather without a model is persisted, power without a model is 0.
     """
-    written = training_frame(time_features(history, cyclical=False))
-    encoder = fit_entity_encoder(written)
-    frame = encoder.transform(written)
-    models = train_chain(frame, chain_features(encoder.names), profile)
-    history = written.select(*history.columns)
-    lacking = [c for c in WEATHER if c not in models]
+    lacking = [c for c in WEATHER if c not in fitted.models]
     if lacking:
         future = persistence_weather(history, lacking, entities)
     else:
         future = entity_spine(history, ENTITY, entities)
-    future = encoder.transform(time_features(future, cyclical=False))
+    future = fitted.encoder.transform(time_features(future, cyclical=False))
     wanted = [t for t in targets if t not in lacking]
-    return _with_yields(predict_chain(future, models, wanted), history, entities)
+    return _with_yields(predict_chain(future, fitted.models, wanted), history, entities)
 
 
-def lag_forecast(
+def chain_forecast(
+    history: DataFrame,
+    profile: ForestProfile = CHAIN_PROFILE,
+    entities: str = "all",
+    targets: Sequence[str] = DEPENDENCY_ORDER,
+) -> DataFrame:
+    """Fit on a clean history and forecast from its end."""
+    frame = training_frame(time_features(history, cyclical=False))
+    written = frame.select(*history.columns)
+    return forecast_chain(written, _fit_chain(frame, profile, None), entities, targets)
+
+
+def fit_lag(
     history: DataFrame,
-    future_weather: DataFrame | None = None,
     profile: ForestProfile = LAG_PROFILE,
+    by: Sequence[str] = ENTITY,
+    cell: str | None = None,
+    folder: str | None = None,
+) -> ModelSet:
+    """Forests of both powers on given weather; ``by=()`` takes lags over all series at once."""
+    return _fit_lag(training_frame(history_features(history, by, cell=cell)), profile, folder)
+
+
+def _fit_lag(frame: DataFrame, profile: ForestProfile, folder: str | None) -> ModelSet:
+    encoder = fit_entity_encoder(frame)
+    models = train_chain(encoder.transform(frame), lag_features(encoder.names), profile, folder)
+    return ModelSet("lag", models, encoder)
+
+
+def forecast_lag(
+    history: DataFrame,
+    fitted: ModelSet,
+    future_weather: DataFrame | None = None,
     entities: str = "all",
     with_history: bool = False,
     by: Sequence[str] = ENTITY,
-    cell: str | None = None,
 ) -> DataFrame:
     """Forecast power from given or persisted weather, then yields.
 
-    ``future_weather`` has one row per time of the spine, for all series alike.
-    ``by=()`` takes the training lags over all series at once.
+    ``future_weather`` has one row per time of the spine, for all series alike. ``by`` is that of
+    the fit; the grid's lags follow it too.
     """
-    written = training_frame(history_features(history, by, cell=cell))
-    encoder = fit_entity_encoder(written)
-    frame = encoder.transform(written)
-    models = train_chain(frame, lag_features(encoder.names), profile)
-    history = written.select(*history.columns)
     if future_weather is None:
         future = persistence_weather(history, WEATHER, entities)
     else:
         spine = entity_spine(history, ENTITY, entities)
         future = spine.join(future_weather.select(TIME, *WEATHER), TIME, "left")
-    lagged = future_features(future, history=history if with_history else None)
-    ready = encoder.transform(lagged)
-    return _with_yields(predict_chain(ready, models, POWER), history, entities)
+    lagged = future_features(future, by, history if with_history else None)
+    ready = fitted.encoder.transform(lagged)
+    return _with_yields(predict_chain(ready, fitted.models, POWER), history, entities)
+
+
+def lag_forecast(
+    history: DataFrame,
+    future_weather: DataFrame | None = None,
+    profile: ForestProfile = LAG_PROFILE,
+    entities: str = "all",
+    with_history: bool = False,
+    by: Sequence[str] = ENTITY,
+    cell: str | None = None,
+    folder: str | None = None,
+) -> DataFrame:
+    """Fit on a clean history and forecast power, then yields, from its end."""
+    frame = training_frame(history_features(history, by, cell=cell))
+    written = frame.select(*history.columns)
+    return forecast_lag(
+        written, _fit_lag(frame, profile, folder), future_weather, entities, with_history, by
+    )
 
 
 def _with_yields(future, history, entities) -> DataFrame:
     return continue_yields(future, history, entities).select(*FORECAST_COLUMNS)
 
 
+def out_of_bag_scores(
+    frame: DataFrame,
+    features: dict[str, list[str]],
+    profile: ForestProfile = LAG_PROFILE,
+    threads: int = FIT_THREADS,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """R2 of each target, every row predicted by the trees whose sample does not hold it.
+
+    ``frame`` is a :func:`training_frame` with encoded keys. Each tree is fitted on its own draw of
+    the rows, which follows from their keys, so the rows a tree has not seen are known without
+    having been stored. The second result holds the rows, with ``oob_trees`` and the prediction.
+    """
+    every = sorted({c for names in features.values() for c in names})
+    scaler = scaler_for(frame, every, profile)
+    rows, scored = [], {}
+    for target, names in features.items():
+        names = existing(frame, names)
+        if target not in frame.columns or not names or not has_at_least(frame, profile.min_rows):
+            continue
+        ready = _assembled(frame, names, _only(scaler, names)).select(*ORDER, target, _VECTOR).checkpoint()
+        drawn = fit_drawn(ready, _VECTOR, target, profile, ORDER, threads)
+        scored[target] = out_of_bag(ready, drawn, ORDER).drop(_VECTOR)
+        found = fit_quality(scored[target], target).first()
+        rows.append((target, found["r2"], found["rows"], drawn.trees))
+    table = frame.sparkSession.createDataFrame(
+        rows, "target string, oob_r2 double, rows bigint, trees int"
+    )
+    return table, scored
+
+
 def holdout_r2(
     history: DataFrame, profile: ForestProfile = CHAIN_PROFILE, folds: int = 5
 ) -> DataFrame:

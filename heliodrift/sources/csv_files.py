@@ -40,8 +40,8 @@ def read_text(
 
     One folder is read by the header of one of its files, and the job raises if another
     file's header differs from it. Several paths, or ``mixed=True``, are read by header: a
-    pass over the first lines groups the files, and each header is one scan however many
-    files have it.
+    pass over the text groups the files by their first lines, and each header is one scan
+    however many files have it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if len(paths) == 1 and not mixed:

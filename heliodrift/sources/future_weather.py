@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def load_future_weather(
 ) -> FutureWeather:
     """Future weather from ``path``; ``frame`` is None with a reason if unusable.
 
-    The caller then falls back to persistence.
+    The caller then falls back to persistence. An error of a job that reads the file, such as
+    a folder of files with different headers, is such a reason too.
     """
     if not path:
         return FutureWeather(None, "no path given")
@@ -76,6 +78,6 @@ def load_future_weather(
             raise UnfillableWeather(f"no values for {', '.join(empty)}")
     except (MissingColumns, DuplicateTimes, UnfillableWeather, UnreadableTimes) as problem:
         return FutureWeather(None, str(problem))
-    except AnalysisException as problem:
+    except (PySparkException, Py4JJavaError) as problem:
         return FutureWeather(None, str(problem).splitlines()[0])
     return FutureWeather(filled, "read from file")

@@ -52,3 +52,19 @@ def readings(spark, rows, schema):
 def collected(df, *keys):
     """Rows as tuples, sorted by the keys (all columns if none)."""
     return [tuple(r) for r in df.orderBy(*(keys or df.columns)).collect()]
+
+
+def sunny_rows(days=4, seed=0):
+    """Two plants with a sun that rises and sets, every 15 minutes."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for step in range(days * 96):
+        time = START + timedelta(minutes=15 * step)
+        sun = max(0.0, float(np.sin(2 * np.pi * (time.hour + time.minute / 60 - 6) / 24)))
+        for plant, source in ((1, "A"), (2, "B")):
+            ambient = 20 + 5 * sun + rng.normal() * 0.1
+            dc = 1000 * plant * sun
+            rows.append(
+                (time, plant, source, dc, dc * 0.96, float(step % 96), 1e5 + step, ambient, ambient + 20 * sun, sun)
+            )
+    return rows
