@@ -10,9 +10,15 @@ The evidence of a row is added up as logarithms for each language:
   smoothed towards its domain, which is smoothed towards the whole corpus.
 
 All tables of counts are grouped aggregations over all rows. The trigram models are fitted on
-about ``SAMPLE_ROWS`` rows of each declared language, those with the smallest id hash, and
-languages with ``MIN_SHARE`` of the rows at least take part. One more class, ``und``, stands
-for text of no language: all trigrams are equally likely under it.
+about ``SAMPLE_ROWS`` rows of each declared language, those with the smallest id hash. Every
+language that ``MIN_ROWS`` rows declare has one, whatever their share, and every declaration and
+every suffix is evidence. One more class, ``und``, stands for text of no language: all trigrams are
+equally likely under it. Where only one or two rows declare a language, others must explain
+their text.
+
+A declaration is two or three letters, so there are 18,252 languages at most. Their counts are
+sparse, a list of buckets for each, and become dense where texts are scored, ``DENSE`` languages at a
+time. Counts of declarations and suffixes stay in tables that are joined.
 
 A row is rejected if ``und`` is the most probable, if the best probability is under
 ``MIN_PROBABILITY``, or if the text (null, empty, without letters) has no trigram. A null
@@ -24,6 +30,7 @@ in alphabetical order wins; with no declared language at all every row is ``und`
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +43,9 @@ from heliodrift.llm.tables import stored
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 500
-MIN_SHARE = 0.005
+MIN_ROWS = 3
+#: Languages whose logarithms a worker holds for all buckets at once.
+DENSE = 64
 TEXT_WEIGHT = 100
 MIN_PROBABILITY = 0.5
 #: Rows that the level above counts for, in the smoothing of hosts and domains.
@@ -63,21 +72,44 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
+    """For each language the buckets that its sample holds, and how often."""
+
     languages: list[str]
-    #: For each language the log-probability of every bucket.
-    logs: np.ndarray
+    buckets: list[np.ndarray]
+    counts: list[np.ndarray]
+
+    def logs(self) -> Iterator[np.ndarray]:
+        """The log-probability of every bucket, smoothed, language by language."""
+        for buckets, counts in zip(self.buckets, self.counts, strict=True):
+            table = np.full(BUCKETS, _FLOOR)
+            table[buckets] += counts
+            yield np.log(table / table.sum()).astype(np.float32)
 
     def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of trigrams, and their mean log-likelihoods, a column for each language."""
         buckets, at = trigrams(texts)
         counts = np.diff(at)
         out = np.zeros((len(texts), len(self.languages)))
-        for k, logs in enumerate(self.logs):
+        for k, logs in enumerate(_dense(self)):
             sums = np.concatenate(([0.0], np.cumsum(logs[buckets], dtype=np.float64)))
             out[:, k] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, counts)
         return counts, out
 
 
+def _dense(model: Model) -> Iterator[np.ndarray]:
+    """The model's logarithms; those of the first ``DENSE`` languages are kept from batch to batch."""
+    if _kept.get("model") is not model:
+        _kept.clear()
+        _kept["model"] = model
+        _kept["logs"] = [x for _, x in zip(range(DENSE), model.logs(), strict=False)]
+    yield from _kept["logs"]
+    if len(model.languages) > DENSE:
+        yield from Model(model.languages[DENSE:], model.buckets[DENSE:], model.counts[DENSE:]).logs()
+
+
+_kept: dict = {}
+
+
 def primary(declared: Column) -> Column:
     """The primary subtag of a language tag, in lower case; null if there is none."""
     tag = F.regexp_extract(F.lower(F.trim(declared)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
@@ -106,28 +138,31 @@ def evidence(docs: DataFrame, text: str, declared: str | None, host: Column) ->
 def train(rows: DataFrame, key: str) -> Model:
     """Trigram models of the declared languages of ``evidence`` rows."""
     found = rows.groupBy("__declared").count().where("__declared IS NOT NULL")
-    total = found.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    counts = {r[0]: r[1] for r in found.where(F.col("count") >= math.ceil(MIN_SHARE * total)).collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Model([], np.zeros((0, BUCKETS), np.float32))
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(SAMPLE_ROWS / n))))
+    shares = found.where(F.col("count") >= MIN_ROWS).select("__declared", (SAMPLE_ROWS / F.col("count")).alias("share"))
     place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
-    sample = rows.where(place < F.element_at(share, F.col("__declared"))).select("__declared", "__text")
+    # A row for each language, of which the alphabet allows a bounded number.
+    sample = rows.join(F.broadcast(shares), "__declared").where(
+        # Few rows are all taken; an id that repeats must not leave them out together.
+        (F.col("share") >= 1) | (place < F.col("share"))
+    )
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         buckets, at = trigrams([x.encode() for x in batch.column(1).to_pylist()])
-        names = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
-        keys = np.repeat(names, np.diff(at)) * BUCKETS + buckets
+        names = batch.column(0).dictionary_encode()
+        keys = np.repeat(names.indices.to_numpy().astype(np.int64), np.diff(at)) * BUCKETS + buckets
         keys, sizes = np.unique(keys, return_counts=True)
-        return pa.record_batch([pa.array(keys), pa.array(sizes.astype(np.int64))], ["slot", "n"])
+        arrays = [names.dictionary.take(pa.array(keys // BUCKETS)), pa.array((keys % BUCKETS).astype(np.int32))]
+        return pa.record_batch([*arrays, pa.array(sizes.astype(np.int64))], ["language", "bucket", "n"])
 
-    table = np.zeros(len(languages) * BUCKETS)
-    # At most one row for each language and bucket reaches the driver.
-    for slot, n in map_text(sample, "__text", count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
-        table[slot] = n
-    table = table.reshape(len(languages), BUCKETS) + _FLOOR
-    return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    counted = map_text(sample.select("__declared", "__text"), "__text", count, "language string, bucket int, n bigint")
+    sums = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    # One row for each language, with at most as many numbers as there are buckets.
+    lists = sums.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"))
+    table = lists.select("language", "cells.bucket", "cells.n").orderBy("language").toArrow()
+    # A language whose rows have no letter has no model.
+    cells = zip(table.column("bucket").to_pylist(), table.column("n").to_pylist(), strict=True)
+    arrays = [(np.array(b, np.int32), np.array(n, np.float64)) for b, n in cells]
+    return Model(table.column("language").to_pylist(), [b for b, _ in arrays], [n for _, n in arrays])
 
 
 def text_scores(rows: DataFrame, model: Model, key: str) -> DataFrame:
@@ -147,30 +182,39 @@ def text_scores(rows: DataFrame, model: Model, key: str) -> DataFrame:
     return map_text(source, "__text", run, f"{kinds}, trigrams bigint, logs array<double>")
 
 
-def _log_shares(counts: dict[str, float], names: list[str], base: dict[str, float], strength: float) -> list[float]:
-    total = sum(counts.values()) + strength
-    return [math.log((counts.get(n, 0) + strength * base[n]) / total) for n in names]
+def _tally(counts: DataFrame, *by: str) -> DataFrame:
+    """A map from languages to rows, for each value of ``by``."""
+    sums = counts.groupBy(*by, "guess").agg(F.sum("count").alias("count"))
+    return sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("guess", "count"))).alias("tally"))
+
+
+def _of(tally: str, name: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col(tally), name), F.lit(0))
 
 
 def _given_language(guesses: DataFrame, column: str, names: list[str], bonus: float) -> DataFrame:
-    """For each frequent value of ``column`` the logarithms of its share among each language's rows.
+    """For each value of ``column`` the logarithms of its share among each language's rows.
 
-    ``bonus`` rows of each language are taken to declare it. Values under ``MIN_SHARE`` of the
-    rows add nothing, so the table is small.
+    ``bonus`` rows of each language are taken to declare it.
     """
-    rows = guesses.groupBy(column, "guess").count().where(f"{column} IS NOT NULL")
-    frequent = rows.groupBy(column).agg(F.sum("count").alias("n"))
-    total = guesses.count()
-    rows = rows.join(frequent.where(F.col("n") >= max(1, math.ceil(MIN_SHARE * total))), column)
-    table: dict[str, dict[str, float]] = {}
-    for value, guess, n in rows.select(column, "guess", "count").collect():
-        table.setdefault(value, {})[guess] = n
-    sums = {name: sum(t.get(name, 0) for t in table.values()) for name in names}
-    data = [
-        (v, [math.log((t.get(m, 0) + bonus * (m == v) + 1) / (sums[m] + bonus + len(table) + 1)) for m in names])
-        for v, t in table.items()
-    ]
-    return guesses.sparkSession.createDataFrame(data, f"{column} string, {column}_logs array<double>")
+    counts = guesses.where(F.col(column).isNotNull()).groupBy(column, "guess").count()
+    sums = dict(counts.groupBy("guess").agg(F.sum("count")).collect())  # a row for each language
+    values = counts.select(column).distinct().count()
+    total = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(float(sums.get(n, 0) + bonus + values + 1)))))
+    logs = F.transform(
+        F.array(*map(F.lit, names)),
+        lambda m: F.log(
+            (_of("tally", m) + F.when(m == F.col(column), bonus).otherwise(0.0) + 1) / F.element_at(total, m)
+        ),
+    )
+    return _tally(counts, column).select(column, logs.alias(f"{column}_logs"))
+
+
+def _with_evidence(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``table`` joined by ``column``; rows without a value, and so without a match, stay spread."""
+    spread = F.coalesce(F.col(column), F.concat(F.lit("\x00"), (F.col("__mark") % 1_000).cast("string")))
+    named = table.withColumnRenamed(column, "__value")
+    return rows.withColumn("__value", spread).join(named, "__value", "left").drop("__value")
 
 
 def host_priors(guesses: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
@@ -180,22 +224,27 @@ def host_priors(guesses: DataFrame, names: list[str]) -> tuple[DataFrame, list[f
     """
     counts = guesses.groupBy("__host", "__domain", "guess").count()
     known = [n for n in names if n != UNKNOWN]
-    whole = dict(counts.groupBy("guess").agg(F.sum("count")).collect())
+    whole = dict(counts.groupBy("guess").agg(F.sum("count")).collect())  # a row for each language
     total = sum(whole.get(n, 0) for n in known)
     corpus = {n: (1 - UNKNOWN_PRIOR) * (whole.get(n, 0) + 1) / (total + len(known)) for n in known}
     corpus[UNKNOWN] = UNKNOWN_PRIOR
-    tally = lambda prefix: [
-        F.sum(F.when(F.col("guess") == n, F.col("count")).otherwise(0)).alias(f"{prefix}{k}") for k, n in enumerate(names)
-    ]
-    hosts = counts.where("__host IS NOT NULL").groupBy("__host", "__domain").agg(*tally("h"))
-    domains = counts.where("__domain IS NOT NULL").groupBy("__domain").agg(*tally("d"))
+    hosts = _tally(counts.where("__host IS NOT NULL"), "__host", "__domain").withColumnRenamed("tally", "own")
+    domains = _tally(counts.where("__domain IS NOT NULL"), "__domain").withColumnRenamed("tally", "around")
     both = hosts.join(domains, "__domain", "left")
-    size = lambda prefix: sum((F.coalesce(f"{prefix}{k}", F.lit(0)) for k in range(len(names))), F.lit(0))
-    logs = []
-    for k, name in enumerate(names):
-        domain = (F.coalesce(f"d{k}", F.lit(0)) + HOST_STRENGTH * corpus[name]) / (size("d") + HOST_STRENGTH)
-        logs.append(F.log((F.col(f"h{k}") + HOST_STRENGTH * domain) / (size("h") + HOST_STRENGTH)))
-    return both.select("__host", F.array(*logs).alias("__host_logs")), [math.log(corpus[n]) for n in names]
+    base = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(corpus[n]))))
+
+    def size(tally: str) -> Column:
+        values = F.coalesce(F.map_values(tally), F.array().cast("array<bigint>"))
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    both = both.withColumns({"own_size": size("own"), "around_size": size("around")})
+
+    def log_prior(name: Column) -> Column:
+        domain = (_of("around", name) + HOST_STRENGTH * F.element_at(base, name)) / (F.col("around_size") + HOST_STRENGTH)
+        return F.log((_of("own", name) + HOST_STRENGTH * domain) / (F.col("own_size") + HOST_STRENGTH))
+
+    logs = F.transform(F.array(*map(F.lit, names)), log_prior)
+    return both.select("__host", logs.alias("__host_logs")), [math.log(corpus[n]) for n in names]
 
 
 def languages(
@@ -216,17 +265,12 @@ def languages(
     by_text = F.array(*map(F.lit, names))[F.array_position("logs", F.array_max("logs")).cast("int") - 1]
     guesses = scores.withColumn("guess", by_text)
     priors, corpus = host_priors(guesses, names)
-    nothing = F.array(*(F.lit(0.0) for _ in names))
-    fused = scores.join(priors, "__host", "left")
+    fused = _with_evidence(scores, priors, "__host")
     for column, bonus in (("__declared", HOST_STRENGTH), ("__suffix", 0.0)):
-        fused = fused.join(F.broadcast(_given_language(guesses, column, names, bonus)), column, "left")
-    parts = [
-        F.col("logs"),
-        F.coalesce("__host_logs", F.array(*map(F.lit, corpus))),
-        F.coalesce("__declared_logs", nothing),
-        F.coalesce("__suffix_logs", nothing),
-    ]
-    total = F.array(*(sum((p[k] for p in parts[1:]), parts[0][k]) for k in range(len(names))))
+        fused = _with_evidence(fused, _given_language(guesses, column, names, bonus), column)
+    total = F.zip_with("logs", F.coalesce("__host_logs", F.array(*map(F.lit, corpus))), lambda x, y: x + y)
+    for column in ("__declared_logs", "__suffix_logs"):
+        total = F.zip_with(total, F.coalesce(column, F.array_repeat(F.lit(0.0), len(names))), lambda x, y: x + y)
     fused = fused.select("__key", "__mark", "trigrams", total.alias("total"))
     best = F.array_max("total")
     mass = F.aggregate(F.transform("total", lambda x: F.exp(x - F.array_max("total"))), F.lit(0.0), lambda a, x: a + x)
