@@ -2,13 +2,17 @@
 
 An item is the bag of its five-word shingles (A-Z folded); a shingle weighs as much as it
 occurs. Every window of a document with as many words as the item is compared with it; a
-document that is shorter than the item is one window. A window without any shingle of the
-item has similarity zero, so windows are fingerprinted where they hold one at least.
+document that is shorter than the item is one window.
+
+A window that is similar enough lacks at most a quarter of the item's shingles. So of any more of
+them it holds one: an item is anchored by its ``1 + size // 4`` shingles that fewest items
+have, and it is compared with the windows that hold one of these, and with no others. Windows
+and items that share nothing rare never meet, however many items are of one size.
 
 A fingerprint has ``BITS`` bits, the signs of the weighted sums of the shingles' bits. Two
 fingerprints within ``RADIUS`` bits differ by ``RADIUS // BLOCKS`` bits at most in one of
-``BLOCKS`` blocks, so the index by blocks finds all of them. At a similarity of 0.75 the mean
-distance is 22 bits and its deviation 4.3. Candidates are confirmed by the exact weighted
+``BLOCKS`` blocks, so none of them is lost when pairs are first compared block by block. At a
+similarity of 0.75 the mean distance is 22 bits and its deviation 4.3. Candidates are confirmed by the exact weighted
 similarity: the sum of the smaller weights over that of the larger ones.
 
 Items are dealt to blocks of about ``BLOCK_BYTES`` of text, and the documents are scanned once
@@ -92,26 +96,27 @@ class Items:
 
     @cached_property
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of items of five words and more, sorted, and the items that have them."""
+        """The rarest shingles of items of five words and more, sorted, and the items that have them."""
         long = [k for k, n in enumerate(self.lengths) if n >= SHINGLE_WORDS]
-        parts = [np.unique(self.bags[k]) for k in long]
-        if not parts:
+        if not long:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known, items_with = np.unique(np.concatenate([np.unique(self.bags[k]) for k in long]), return_counts=True)
+        parts = []
+        for k in long:
+            bag = self.bags[k]
+            rarity = items_with[np.searchsorted(known, bag)]
+            # Copies of a shingle count one by one, as they do in the similarity.
+            first = np.lexsort((bag, rarity))[: len(bag) * (100 - PERCENT) // 100 + 1]
+            parts.append(np.unique(bag[first]))
         owner = np.repeat(long, [len(x) for x in parts])
         order = np.argsort(np.concatenate(parts), kind="stable")
         return np.concatenate(parts)[order], owner[order]
 
     @cached_property
-    def by_size(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For each number of shingles the items and the blocks of their fingerprints."""
-        sizes: dict[int, list[int]] = {}
-        for k, n in enumerate(self.lengths):
-            if n >= SHINGLE_WORDS:
-                sizes.setdefault(len(self.bags[k]), []).append(k)
-        return {
-            size: (np.array(items), _blocks(np.array([_votes(self.bags[k]).sum(axis=0) for k in items])))
-            for size, items in sizes.items()
-        }
+    def prints(self) -> np.ndarray:
+        """The blocks of the fingerprint of each item."""
+        sums = [_votes(bag).sum(axis=0) if len(bag) else np.zeros(BITS, np.int32) for bag in self.bags]
+        return _blocks(np.array(sums, np.int32).reshape(-1, BITS))
 
     @cached_property
     def short(self) -> dict[int, dict[int, list[int]]]:
@@ -130,57 +135,70 @@ class Items:
         sizes = np.array([len(x) for x in rows], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.concatenate(rows) if rows else words
-        low = np.searchsorted(keys, flat)
-        hits = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == flat) if len(keys) else low[:0]
-        for row in np.unique(np.searchsorted(starts, hits, "right") - 1):
-            mine = hits[(hits >= starts[row]) & (hits < starts[row + 1])]
-            anchored: dict[int, list[int]] = {}
-            for place in mine:
-                here = low[place]
-                while here < len(keys) and keys[here] == flat[place]:
-                    size = len(self.bags[owner[here]])
-                    anchored.setdefault(size, []).append(int(place - starts[row]))
-                    here += 1
-            for size, places in sorted(anchored.items()):
-                yield from self._near(int(row), rows[row], size, np.unique(places))
+        low, high = np.searchsorted(keys, flat), np.searchsorted(keys, flat, "right")
+        hits = np.flatnonzero(high > low)
+        # Every place of a text with every item that it anchors.
+        counts = (high - low)[hits]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        items = owner[np.repeat(low[hits], counts) + within]
+        places = np.repeat(hits, counts)
+        where = np.searchsorted(starts, places, "right") - 1
+        lengths = np.array([len(bag) for bag in self.bags], np.int64)
+        order = np.lexsort((places, items, lengths[items], where))
+        edges = np.flatnonzero(np.diff(where[order])) + 1
+        for mine in np.split(order, edges) if len(order) else []:
+            row = int(where[mine[0]])
+            same_size = np.flatnonzero(np.diff(lengths[items[mine]])) + 1
+            for part in np.split(mine, same_size):
+                yield from self._near(row, rows[row], items[part], places[part] - starts[row])
         for length, wanted in sorted(self.short.items()):
             yield from _short_matches(words, at, length, wanted)
 
-    def _near(self, row: int, shingles: np.ndarray, size: int, places: np.ndarray):
-        items, prints = self.by_size[size]
+    def _near(self, row: int, shingles: np.ndarray, items: np.ndarray, places: np.ndarray):
+        """Matches of the items of one size, each anchored at some places of a text."""
+        size = len(self.bags[items[0]])
+        each = np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1)
+        spans = {int(items[k[0]]): _stretches(places[k], size, len(shingles)) for k in each}
         best: dict[int, tuple[float, int, int]] = {}
-        for first, last in _stretches(places, size, len(shingles)):
+        # Windows that several items ask for are fingerprinted once, some thousands at a time.
+        for first, last in _pieces(_stretches(np.unique(places), size, len(shingles))):
             part = shingles[first : last + size]
             found = window_prints(part, min(size, len(part)))
-            differing = _COUNTS[found[:, None, :] ^ prints[None, :, :]]
-            candidates = (differing <= RADIUS // BLOCKS).any(axis=2)
-            distance = differing.sum(axis=2, dtype=np.int64)
-            for window, k in np.argwhere(candidates & (distance <= RADIUS)):
-                bag = self.bags[items[k]]
-                value = weighted_similarity(part[window : window + size], bag)
-                rank = (value, -int(first + window), -int(distance[window, k]))
-                if 100 * value >= PERCENT and rank > best.get(k, (0.0, 0, 0)):
-                    best[k] = rank
-        for k, (value, place, bits) in sorted(best.items()):
-            yield row, int(items[k]), -place, value, -bits
-
-
-def _stretches(places: np.ndarray, size: int, count: int) -> Iterator[tuple[int, int]]:
-    """First and last start of runs of windows that hold a place, in bounded pieces."""
+            for item, ranges in spans.items():
+                for a, b in ranges:
+                    a, b = max(a, first), min(b, last)
+                    if a <= b:
+                        self._compare(item, found[a - first : b + 1 - first], shingles, a, size, best)
+        for item, (value, place, bits) in sorted(best.items()):
+            yield row, item, -place, value, -bits
+
+    def _compare(self, item: int, found: np.ndarray, shingles: np.ndarray, start: int, size: int, best: dict) -> None:
+        differing = _COUNTS[found ^ self.prints[item]]
+        candidates = (differing <= RADIUS // BLOCKS).any(axis=1)
+        distance = differing.sum(axis=1, dtype=np.int64)
+        for window in np.flatnonzero(candidates & (distance <= RADIUS)):
+            place = int(start + window)
+            value = weighted_similarity(shingles[place : place + size], self.bags[item])
+            rank = (value, -place, -int(distance[window]))
+            if 100 * value >= PERCENT and rank > best.get(item, (0.0, 0, 0)):
+                best[item] = rank
+
+
+def _stretches(places: np.ndarray, size: int, count: int) -> list[tuple[int, int]]:
+    """First and last start of the runs of windows that hold one of the sorted places."""
     last_start = max(0, count - size)
-    lows, highs = np.maximum(places - size + 1, 0), np.minimum(places, last_start)
-    first, last = int(min(lows[0], last_start)), int(highs[0])
-    for low, high in zip(lows[1:].tolist(), highs[1:].tolist(), strict=True):
-        if low > last + 1:
-            yield from _pieces(first, last)
-            first = low
-        last = max(last, high)
-    yield from _pieces(first, last)
-
-
-def _pieces(first: int, last: int) -> Iterator[tuple[int, int]]:
-    for start in range(first, last + 1, _WINDOWS):
-        yield start, min(last, start + _WINDOWS - 1)
+    lows, highs = np.clip(places - size + 1, 0, last_start), np.minimum(places, last_start)
+    # A run ends where the next place's first window does not follow the windows so far.
+    ends = np.flatnonzero(lows[1:] > np.maximum.accumulate(highs)[:-1] + 1)
+    firsts = lows[np.concatenate(([0], ends + 1))]
+    lasts = np.maximum.accumulate(highs)[np.concatenate((ends, [len(places) - 1]))]
+    return list(zip(firsts.tolist(), lasts.tolist(), strict=True))
+
+
+def _pieces(stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for first, last in stretches:
+        for start in range(first, last + 1, _WINDOWS):
+            yield start, min(last, start + _WINDOWS - 1)
 
 
 def _short_matches(words: np.ndarray, at: np.ndarray, length: int, wanted: dict[int, list[int]]):
