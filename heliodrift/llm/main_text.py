@@ -5,12 +5,17 @@ the containers around them. The first pass decides each block by itself:
 
 * ``BAD`` if a container says so (navigation, footer, form, a class or id such as ``ad`` or
   ``comments``), or if more than half of its signs are in links;
-* ``GOOD`` if it is long and dense in stop words, ``BAD`` if it is long and has hardly any
-  while another block of the page is dense in them;
-* ``GOOD`` if it is long and has hardly any where no block is dense: the page is then in a
-  language that the stop words do not cover, and they say nothing about it;
+* ``GOOD`` if it is long and dense in stop words;
+* long and with hardly any it is ``BAD`` where the page is in a language that the stop words
+  cover, else ``GOOD``, as they then say nothing about it. The language is the declared one; where
+  none is declared it is covered unless these blocks are more, and hold more text, than the dense;
 * otherwise it is left open, short blocks above all.
 
+Names of classes count for what they name, not for what is laid out around it: none on
+``html``, ``body``, ``main`` and an outermost ``article``, no name such as ``has-sidebar`` or
+``with-menu``, and none that ends in a word for the article. Where nothing of a page would be left,
+the names that rule out most of its text are not heeded.
+
 The second pass gives each open block the label of its nearest decided neighbours: if they
 agree, theirs; else that of the nearer one, counted in blocks, the earlier one on a tie.
 What a container rules out says nothing about its neighbours, and an open block without a
@@ -71,6 +76,14 @@ STOP_WORDS = frozenset(
     "der die das und den von zu mit sich ein eine auf für nicht ist dem auch als im es an war "
     "el los las y del se no una por con para su al lo como más o pero sus".split()
 )
+#: Languages that the stop words cover.
+COVERED = frozenset(("en", "fr", "de", "es"))
+#: First parts of names that say what stands beside, and last parts that name the article.
+LAYOUT_PARTS = frozenset("has have with without no is show hide toggle".split())
+ARTICLE_PARTS = frozenset("article story post essay page main body".split())
+#: Tags around a whole page, whose names describe its layout.
+PAGE_TAGS = frozenset(("html", "body", "main"))
+_LANGUAGE = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _HINT = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -85,21 +98,30 @@ class Block:
     linked: int
     bad: bool
     article: bool
+    #: Number of the outermost container that a name alone rules out; 0 if there is none.
+    named: int = 0
     label: int = OPEN
 
 
-def _says_bad(attributes: str, article: bool) -> bool:
+def _hidden(attributes: str) -> bool:
     for name, *values in _HINT.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        else:
-            words = set(_PART.findall(value))
-            if words & BAD_WORDS or "header" in words and not article:
-                return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
+    return False
+
+
+def _named_bad(attributes: str, article: bool) -> bool:
+    for name, *values in _HINT.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for word in "".join(values).lower().split():
+                parts = _PART.findall(word)
+                if len(parts) > 1 and (parts[0] in LAYOUT_PARTS or parts[-1] in ARTICLE_PARTS):
+                    continue
+                if not BAD_WORDS.isdisjoint(parts) or "header" in parts and not article:
+                    return True
     return False
 
 
@@ -108,14 +130,16 @@ class _Reader:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool]] = []
+        #: Name, whether ruled out, whether in an article, and the container whose name rules it out.
+        self.open: list[tuple[str, bool, bool, int]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = False
+        self.named = 0
 
     @property
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def state(self) -> tuple[bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0)
 
     def text(self, raw: str) -> None:
         if raw:
@@ -128,28 +152,37 @@ class _Reader:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                bad, article = self.state
-                self.blocks.append(Block(text, self.linked, bad, article))
+                self.blocks.append(Block(text, self.linked, *self.state))
             self.parts = []
         self.linked = 0
 
+    def _ruled_out(self, name: str, attributes: str) -> tuple[bool, bool]:
+        """Whether a tag is out by itself, and whether it is by a name."""
+        _, article, _ = self.state
+        out = name in BAD_TAGS or (name == "header" and not article) or bool(attributes) and _hidden(attributes)
+        heeded = bool(attributes) and name not in PAGE_TAGS and (name != "article" or article)
+        return out, heeded and _named_bad(attributes, article)
+
     def start(self, name: str, attributes: str) -> None:
-        bad, article = self.state
         if name == "br":
             self.parts.append(" ")
-        elif name == "a":
+            return
+        if name == "a":
             self.in_link = True
-        elif name in BLOCK_TAGS or attributes and _says_bad(attributes, article):
+            return
+        out, by_name = self._ruled_out(name, attributes) if name in BLOCK_TAGS or attributes else (False, False)
+        if name in BLOCK_TAGS or out or by_name:
             self.flush()
             if name == "p" and self.open and self.open[-1][0] == "p":
                 self.open.pop()
-                bad, article = self.state
             if name not in VOID_TAGS:
-                bad = bad or name in BAD_TAGS or (name == "header" and not article)
-                bad = bad or bool(attributes) and _says_bad(attributes, article)
-                self.open.append((name, bad, article or name in ARTICLE_TAGS))
+                bad, article, named = self.state
+                if by_name and not (out or bad):
+                    self.named += 1
+                    named = self.named
+                self.open.append((name, bad or out or by_name, article or name in ARTICLE_TAGS, 0 if out else named))
         elif name not in VOID_TAGS and self.open and not self.open[-1][0] in BLOCK_TAGS:
-            self.open.append((name, bad, article))
+            self.open.append((name, *self.state))
 
     def end(self, name: str) -> None:
         if name == "a":
@@ -235,10 +268,31 @@ def _second_pass(blocks: list[Block]) -> None:
 
 def main_blocks(page: str | None) -> list[str]:
     """Texts of the good blocks, in page order."""
-    blocks = read_blocks(page or "")
+    page = page or ""
+    blocks = read_blocks(page)
+    declared = _LANGUAGE.search(page)
+    found = _decided(blocks, declared[1].lower()[:2] if declared else None)
+    held: dict[int, int] = {}
+    for block in blocks:
+        if block.named:
+            held[block.named] = held.get(block.named, 0) + len(block.text) - block.linked
+    if found or not held:
+        return found
+    # Nothing is left but what a name rules out: the name is not heeded where most of the text is.
+    most = max(held, key=lambda k: (held[k], -k))
+    for block in blocks:
+        block.label = OPEN
+        if block.named == most:
+            block.bad, block.named = False, 0
+    return _decided(blocks, declared[1].lower()[:2] if declared else None)
+
+
+def _decided(blocks: list[Block], language: str | None) -> list[str]:
     for block in blocks:
         block.label = _first_pass(block)
-    sparse = BAD if any(b.label == GOOD for b in blocks) else GOOD
+    dense, thin = ([len(b.text) for b in blocks if b.label == label] for label in (GOOD, SPARSE))
+    covered = language in COVERED if language else len(dense) >= len(thin) or sum(dense) >= sum(thin)
+    sparse = BAD if covered and dense else GOOD
     for block in blocks:
         if block.label == SPARSE:
             block.label = sparse
