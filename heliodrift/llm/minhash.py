@@ -13,8 +13,11 @@ their similarity. ``BANDS`` bands of ``BINS / BANDS`` bins are the buckets: at a
    links give components. The bounds lose nothing: sizes, and the bits in which bitmaps of the
    sets differ (half of what they leave is the most two sets can share).
 4. A bucket whose members are still in different components may hide a link between two of
-   them. The number of shingles that occur in any other such document is a third bound there.
-   The pairs that stay open are confirmed in the same way, which completes the links.
+   them. Its members are not paired with each other: such documents meet by their rarest shingles.
+   Similar sets share one of the first ``size - ceil(0.75 * size) + 1`` of their shingles, in the order
+   of how many of these documents have them, and at places that leave enough behind them. The
+   number of shingles that occur in any other such document is a third bound there. The pairs
+   that stay open are confirmed in the same way, which completes the links.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.
 A row with a null id is not linked and stays; repeated rows get the same result each; ties
@@ -183,16 +186,14 @@ def link_table(
     pairs = stars.join(known, "id").join(others, "hub").where(_bitmaps_fit("a", "b", percent))
     pairs = stored(pairs.select("hub", "id"))
     links = _confirmed(sets, pairs, percent)
-    more = stored(_left_over(members, marks, sets, links, pairs, percent))
+    more = stored(_left_over(members, sets, links, pairs, percent))
     if not more.isEmpty():
         links = links.unionByName(_confirmed(sets, more, percent))
     return rows, classes, links
 
 
-def _left_over(
-    members: DataFrame, marks: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int
-) -> DataFrame:
-    """Pairs of a bucket in different components that may be similar and were not tested."""
+def _left_over(members: DataFrame, sets: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components, of buckets that hold several, that may be similar and were not tested."""
     found = components(links, "hub", "id").withColumnRenamed("node", "id")
     labelled = members.select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
@@ -201,32 +202,43 @@ def _left_over(
         .where("low < high")
         .select("bucket")
     )
-    open_rows = stored(labelled.join(mixed, "bucket"))
-    open_sets = sets.join(open_rows.select("id").distinct(), "id", "left_semi")
-    # A shingle of no other open document cannot be common to two of them.
-    alone = (
-        open_sets.select("id", F.explode("items").alias("item"))
-        .groupBy("item")
-        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        .where("n = 1")
+    open_rows = stored(labelled.join(mixed, "bucket").select("id", "component").distinct())
+    open_sets = sets.join(open_rows.select("id"), "id", "left_semi")
+    tokens = open_sets.select("id", F.explode("items").alias("item"))
+    found_in = tokens.groupBy("item").agg(F.count("*").alias("n"))
+    # Each document's shingles, rarest first: no more than its own set.
+    ranked = (
+        tokens.join(found_in, "item")
         .groupBy("id")
-        .agg(F.count("*").alias("alone"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+        .join(open_rows, "id")
     )
-    elsewhere = (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("elsewhere")
-    known = marks.join(open_sets.select("id", "bitmap"), "id").join(alone, "id", "left")
-    known = known.select("id", "n_shingles", elsewhere, "bitmap")
+    size = F.size("ranked").cast("long")
+    # A shingle of no other open document cannot be common to two of them.
+    elsewhere = F.size(F.filter("ranked", lambda t: t["n"] > 1)).cast("long")
+    ranked = ranked.withColumns({"n_shingles": size, "elsewhere": elsewhere})
     # The least another document must share: with one of ``percent`` of its size, all of that.
-    known = known.where(100 * F.col("elsewhere") >= percent * F.col("n_shingles"))
-    x = F.struct("id", "component", "n_shingles", "elsewhere", "bitmap").alias("x")
-    side = open_rows.join(known, "id").select("bucket", x)
+    ranked = stored(ranked.where(100 * F.col("elsewhere") >= percent * F.col("n_shingles")))
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    first = F.slice("ranked", F.lit(1), (F.col("n_shingles") - least + 1).cast("int"))
+    places = ranked.select("id", "component", "n_shingles", F.posexplode(first).alias("place", "token"))
+    places = places.where("token.n > 1").select(
+        "token.item", F.struct("id", "component", "n_shingles", "place").alias("x")
+    )
     different = F.col("a.component") < F.col("b.component")
-    pairs = (
-        side.withColumnRenamed("x", "a")
-        .join(side.withColumnRenamed("x", "b"), "bucket")
-        .where(different & _can_share("a", "b", percent))
+    behind = F.least(F.col("a.n_shingles") - F.col("a.place"), F.col("b.n_shingles") - F.col("b.place"))
+    meet = (
+        places.withColumnRenamed("x", "a")
+        .join(places.withColumnRenamed("x", "b"), "item")
+        .where(different & _similar(behind, F.col("a.n_shingles"), F.col("b.n_shingles"), percent))
         .select(F.col("a.id").alias("hub"), F.col("b.id").alias("id"))
         .distinct()
     )
+    known = ranked.select("id", "n_shingles", "elsewhere").join(open_sets.select("id", "bitmap"), "id")
+    known = known.select("id", F.struct("n_shingles", "elsewhere", "bitmap").alias("x"))
+    others = known.select(F.col("id").alias("hub"), F.col("x").alias("a"))
+    pairs = meet.join(known.withColumnRenamed("x", "b"), "id").join(others, "hub")
+    pairs = pairs.where(_can_share("a", "b", percent)).select("hub", "id")
     done = tested.select(F.least("hub", "id").alias("low"), F.greatest("hub", "id").alias("high"))
     return pairs.join(
         done, (F.least("hub", "id") == F.col("low")) & (F.greatest("hub", "id") == F.col("high")), "left_anti"
