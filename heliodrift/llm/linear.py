@@ -150,12 +150,15 @@ def labelled_sample(
     """Features and labels of ``rows`` labelled documents at most, those of the smallest id hash.
 
     A repeated label row counts once, by its largest label; rows without a label or an id
-    are left out, and so are labels without a document.
+    are left out, and so are labels without a document. Of the rows of one id the least text counts,
+    chosen before any shuffle, so an id that holds a third of the rows is one row of the sample.
     """
     named = labels.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns)).dropna()
     # At most ``rows`` ids leave the sample, so their size is bounded.
-    ids = F.broadcast(sample_ids(named, "doc_id", rows).join(named, "doc_id"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    chosen = sample_ids(named, "doc_id", rows).join(named, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    once = texts.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = once.join(F.broadcast(chosen), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         slots, values, at = features.rows([x.encode() for x in batch.column("text").to_pylist()])

@@ -7,7 +7,8 @@ by a hash of the id, and each fold is predicted by models of the other folds. Th
 models are fitted on all rows of the sample, which has at most ``SAMPLE_ROWS`` rows.
 
 A null text counts as empty; ids may repeat or be null; other columns are not read; without
-labelled rows every probability is 0.5; very long texts are read whole.
+labelled rows every probability is 0.5 and nothing is predicted to be toxic, which takes more than
+``THRESHOLD``; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -153,5 +154,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id",
         held_out("doc_id").alias("held_out"),
         *(F.col(c).alias(f"p_{c}") for c in CATEGORIES),
-        (F.col("toxic") >= THRESHOLD).cast("int").alias("predicted"),
+        (F.col("toxic") > THRESHOLD).cast("int").alias("predicted"),
     )
