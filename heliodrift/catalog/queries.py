@@ -553,18 +553,12 @@ def forest_lag_properties(spark, sf_dir):
     return _forecast_properties(forest_lag_forecast(spark, sf_dir))
 
 
-# The second of the library's profiles takes long on a few cores.
-_SMALL_LAG = replace(LAG_PROFILE, trees=10, depth=6)
-
-
 def forest_chain_forecast(spark, sf_dir):
     return chain_forecast(_history(spark, sf_dir), CHAIN_PROFILE)
 
 
 def forest_lag_forecast(spark, sf_dir):
-    return lag_forecast(
-        _history(spark, sf_dir), profile=_SMALL_LAG, cell=views.BY_SOURCE
-    )
+    return lag_forecast(_history(spark, sf_dir), profile=LAG_PROFILE, cell=views.BY_SOURCE)
 
 
 def forest_holdout_r2(spark, sf_dir):

@@ -148,14 +148,15 @@ def fit_drawn(
     target: str,
     profile: ForestProfile,
     keys: Sequence[str],
-    threads: int = 4,
+    threads: int = 1,
 ) -> Ensemble:
     """As many single trees as the profile has, each on its own draw of ``copies``."""
 
     def tree(number: int) -> RandomForestRegressionModel:
         drawn = data.withColumn(WEIGHT, copies(F.lit(number), keys).cast("double")).where(F.col(WEIGHT) > 0)
         one = regressor(profile, features, target, 1, profile.seed + number)
-        return one.setBootstrap(False).setWeightCol(WEIGHT).fit(drawn)
+        # Walking down one tree costs less than keeping the node of every row.
+        return one.setBootstrap(False).setCacheNodeIds(False).setWeightCol(WEIGHT).fit(drawn)
 
     return Ensemble(tuple(side_by_side(data.sparkSession, tree, range(profile.trees), threads)))
 

@@ -40,12 +40,14 @@ from heliodrift.session import shared_folder
 # Predictions of these are clamped at 0; temperatures are not.
 NON_NEGATIVE = ("IRRADIATION", *POWER)
 _VECTOR = "__features"
-# Rows of a training task: few on small tables, so that all cores get some, and a
-# bounded number on large ones.
-_SMALL_TASK_ROWS, _SMALL_TASKS = 1_000, 64
+# Rows of a training task: a bounded number on large tables, and not few on small ones, as each
+# task sends split statistics of all nodes, whatever its rows. Fits side by side use the other cores.
+_SMALL_TASK_ROWS, _SMALL_TASKS = 12_000, 64
 _TASK_ROWS = 200_000
 # Fits that run at the same time; each waits for the result of every level.
-FIT_THREADS = 4
+FIT_THREADS = 6
+# The same for single trees, whose passes are short.
+TREE_THREADS = 12
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,7 @@ class ForestProfile:
 # Split needs 10 rows: the nearest setting is a leaf of 5.
 CHAIN_PROFILE = ForestProfile(50, 15, 5, 10, skip_cyclical=False)
 # Split needs 8 rows: implied by the leaf of 4.
-LAG_PROFILE = ForestProfile(150, 25, 4, 20, skip_cyclical=True, count_null=True)
+LAG_PROFILE = ForestProfile(150, 25, 4, 20, skip_cyclical=True, count_null=True, group_trees=25)
 
 # Which earlier targets each target learns from.
 CHAIN_INPUTS = {
@@ -218,7 +220,9 @@ def train_chain(
     scaler = scaler_for(frame, every, profile)
     models = side_by_side(
         frame.sparkSession,
-        lambda target: train_target(frame, target, features[target], profile, scaler, folder),
+        lambda target: train_target(
+            frame, target, features[target], profile, scaler, folder, max(1, threads // len(features))
+        ),
         list(features),
         threads,
     )
@@ -359,7 +363,7 @@ def out_of_bag_scores(
     frame: DataFrame,
     features: dict[str, list[str]],
     profile: ForestProfile = LAG_PROFILE,
-    threads: int = FIT_THREADS,
+    threads: int = TREE_THREADS,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """R2 of each target, every row predicted by the trees whose sample does not hold it.
 

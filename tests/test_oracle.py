@@ -6,9 +6,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 from oracle_check import connect, differences
 
 SF_DIR = "/root/testdata/sf0.01"
-# Full-size forests take a minute; what is checked of them does not depend on the scale.
+# Full-size forests take minutes; what is checked of them does not depend on the scale.
 SMALL_DIR = "/root/testdata/sf0.001"
-FORESTS = {"forest_chain_properties", "forest_lag_properties"}
+FORESTS = {"forest_chain_properties", "forest_lag_properties", "out_of_bag_rows"}
 
 
 @pytest.fixture(scope="module")
