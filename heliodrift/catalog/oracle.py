@@ -367,6 +367,7 @@ _PROPERTIES = f"""WITH {_GEN} SELECT PLANT_ID, SOURCE_KEY, CAST(96 AS BIGINT) AS
 ORACLE_SQL |= {
     "forest_chain_properties": _PROPERTIES,
     "forest_lag_properties": _PROPERTIES,
+    "forecast_too_few_rows": ORACLE_SQL["forecast_zero_power"],
     "weather_from_file": ORACLE_SQL["align_future_weather"],
 }
 

@@ -21,6 +21,7 @@ from heliodrift.functions.calendar import (
 from heliodrift.functions.measures import INTERACTION, clamp_at_zero, energy
 from heliodrift.functions.parsing import lenient_number, parse_time, parse_time_format
 from heliodrift.operators.asof import nearest_rows
+from heliodrift.operators.columns import containing
 from heliodrift.operators.combine import drop_duplicates, union_plants
 from heliodrift.operators.describe import describe
 from heliodrift.operators.encode import (
@@ -280,8 +281,8 @@ def _lagged(filled: DataFrame, by, cell: str, number=None) -> DataFrame:
     table = lags_and_means(
         filled, columns, by, null_free=True, cell=cell, number=number
     )
-    means = [c for c in lag_mean_names(columns) if "_roll_mean_" in c]
-    return _rounded(table.select(*ORDER, *lag_mean_names(columns)), 6, *means)
+    shown = table.select(*ORDER, *lag_mean_names(columns))
+    return _rounded(shown, 6, *containing(shown, "_roll_mean_"))
 
 
 def lag_roll_global(spark, sf_dir):
@@ -298,8 +299,8 @@ def lag_roll_with_gaps(spark, sf_dir):
     table = lags_and_means(
         views.combined(spark, sf_dir), WEATHER, cell=views.BY_SOURCE
     )
-    means = [c for c in lag_mean_names(WEATHER) if "_roll_mean_" in c]
-    return _rounded(table.select(*ORDER, *lag_mean_names(WEATHER)), 6, *means)
+    shown = table.select(*ORDER, *lag_mean_names(WEATHER))
+    return _rounded(shown, 6, *containing(shown, "_roll_mean_"))
 
 
 def one_hot_keys(spark, sf_dir):
@@ -376,9 +377,8 @@ def future_features_with_history(spark, sf_dir):
 
 def _future_columns(df: DataFrame) -> DataFrame:
     lagged = lag_mean_names(WEATHER)
-    means = [c for c in lagged if "_roll_mean_" in c]
     table = df.select(*ORDER, *WEATHER, *CALENDAR_COLUMNS, *CYCLICAL_COLUMNS, INTERACTION, *lagged)
-    return _rounded(_rounded(table, 9, *CYCLICAL_COLUMNS), 6, INTERACTION, *means)
+    return _rounded(_rounded(table, 9, *CYCLICAL_COLUMNS), 6, INTERACTION, *containing(table, "_roll_mean_"))
 
 
 def forecast_yields(spark, sf_dir):
@@ -561,6 +561,11 @@ def forest_lag_forecast(spark, sf_dir):
     return lag_forecast(_history(spark, sf_dir), profile=LAG_PROFILE, cell=views.BY_SOURCE)
 
 
+def forecast_too_few_rows(spark, sf_dir):
+    """With fewer rows than a profile asks for there is no model: persisted weather, no power."""
+    return chain_forecast(_history(spark, sf_dir), replace(CHAIN_PROFILE, min_rows=2_000_000_000))
+
+
 def forest_holdout_r2(spark, sf_dir):
     return holdout_r2(_history(spark, sf_dir), CHAIN_PROFILE)
 
@@ -773,6 +778,7 @@ QUERIES: dict[str, Query] = {
     "forest_group_means": forest_group_means,
     "forest_chain_properties": forest_chain_properties,
     "forest_lag_properties": forest_lag_properties,
+    "forecast_too_few_rows": forecast_too_few_rows,
     "saved_chain_of_means": saved_chain_of_means,
     "recursive_power": recursive_power,
     "nearest_weather": nearest_weather,

@@ -10,7 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliodrift.operators.columns import numeric_columns
+from heliodrift.operators.columns import numeric_columns, with_prefix, with_suffix
 from heliodrift.operators.profile import over_two_values
 from heliodrift.schemas import PLANT, SOURCE
 
@@ -137,10 +137,10 @@ def scalable_columns(
 ) -> list[str]:
     """Numeric columns with more than two values that are not dummies."""
     numeric = set(numeric_columns(df))
-    dummies = tuple(f"{p}_" for p in PREFIXES.values())
-    chosen = [c for c in columns if c in numeric and not c.startswith(dummies)]
+    left_out = set(with_prefix(df, *[f"{p}_" for p in PREFIXES.values()]))
     if skip_cyclical:
-        chosen = [c for c in chosen if not c.endswith(("_sin", "_cos"))]
+        left_out.update(with_suffix(df, "_sin", "_cos"))
+    chosen = [c for c in columns if c in numeric and c not in left_out]
     varied = over_two_values(df, chosen)
     return [c for c in chosen if varied[c][count_null]]
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliodrift.functions.calendar import seconds_between
+from heliodrift.functions.calendar import day, seconds_between
+from heliodrift.functions.measures import zero_if_null
 from heliodrift.functions.parsing import nan_to_null
 from heliodrift.operators.columns import check_columns
 from heliodrift.schemas import ENTITY, MEASURES, ORDER, POWER, TIME, YIELDS
@@ -18,7 +19,7 @@ SUMMED = POWER + YIELDS
 
 def _sum(column: str) -> Column:
     # The sum of nothing but nulls is 0.
-    return F.coalesce(F.sum(column), F.lit(0.0)).alias(column)
+    return zero_if_null(F.sum(column)).alias(column)
 
 
 def sum_per_timestamp(df: DataFrame, columns: Sequence[str] = SUMMED) -> DataFrame:
@@ -28,7 +29,7 @@ def sum_per_timestamp(df: DataFrame, columns: Sequence[str] = SUMMED) -> DataFra
 
 def daily_totals(df: DataFrame, columns: Sequence[str] = SUMMED) -> DataFrame:
     """Sums per day. The yields are counters, so their sums are not energy."""
-    dated = df.where(F.col(TIME).isNotNull()).withColumn("DATE", F.to_date(TIME))
+    dated = df.where(F.col(TIME).isNotNull()).withColumn("DATE", day())
     return dated.groupBy("DATE").agg(*map(_sum, columns))
 
 

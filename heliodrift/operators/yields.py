@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliodrift.functions.measures import energy
+from heliodrift.functions.calendar import day
+from heliodrift.functions.measures import energy, zero_if_null
 from heliodrift.schemas import (
     DAILY_FORECAST,
     ENTITY,
@@ -41,16 +42,16 @@ def add_yields(
         )
     upto = (Window.unboundedPreceding, Window.currentRow)
     series = Window.partitionBy(*by).orderBy(TIME)
-    days = Window.partitionBy(*by, F.to_date(TIME)).orderBy(TIME)
+    days = Window.partitionBy(*by, day()).orderBy(TIME)
     used = F.sum(energy(power, step_minutes))
     first_day = F.to_date(F.first(TIME).over(series))
     carried = F.when(
-        (F.to_date(TIME) == first_day) & (F.to_date(last_time) == first_day),
-        F.coalesce(daily_seed, F.lit(0.0)),
+        (day() == first_day) & (F.to_date(last_time) == first_day),
+        zero_if_null(daily_seed),
     ).otherwise(F.lit(0.0))
     return forecast.withColumns(
         {
-            TOTAL_FORECAST: F.coalesce(total_seed, F.lit(0.0))
+            TOTAL_FORECAST: zero_if_null(total_seed)
             + used.over(series.rowsBetween(*upto)),
             DAILY_FORECAST: carried + used.over(days.rowsBetween(*upto)),
         }

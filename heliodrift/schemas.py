@@ -26,8 +26,9 @@ TOTAL_FORECAST = "TOTAL_YIELD_forecasted"
 STEP_MINUTES = 15
 HORIZON = 96
 STEPS_PER_HOUR = 4
-LAGS = (4, 96)
-MEAN_ROWS = 12
+# An hour and a day back, and three hours.
+LAGS = (STEPS_PER_HOUR, HORIZON)
+MEAN_ROWS = 3 * STEPS_PER_HOUR
 
 _KEYS = [
     T.StructField(TIME, T.TimestampNTZType()),
