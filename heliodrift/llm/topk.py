@@ -11,8 +11,8 @@ impact of the next segment. From time to time the best sums are scored exactly,
 k-th best score so far; once few vectors can reach it, all of those are scored exactly and the
 others are proven out. So the result does not depend on where the visit stops.
 
-Queries are dealt to blocks of ``QUERY_ROWS``; each pair of a shard and a block is one group,
-whose best rows meet those of other shards per query. Vectors that are null or hold nulls or
+The index is dealt out once, a shard to a task, which holds that shard and reads the queries behind
+it as a stream, ``QUERY_ROWS`` at a time; a query's best rows of each shard meet at the end. Vectors that are null or hold nulls or
 non-finite components take no part, nor do null ids; rows of one id count once, by their
 largest vector; vectors of different lengths don't meet; equal scores go to the smaller id;
 scaled components are clipped at 2**62 and scores to 64 bits; other columns are not read.
@@ -20,6 +20,8 @@ scaled components are clipped at 2**62 and scores to 64 bits; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -151,29 +153,52 @@ class Shard:
         return sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut where the shard, or what its rows are, changes."""
+    if not batch.num_rows:
+        return
+    keys = [batch["size"].to_numpy(), batch["shard"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)]
+    cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best rows for each query."""
     wanted = _vectors(queries, key, vector).withColumn("size", F.size("vector"))
-    blocks = 1 + wanted.count() // QUERY_ROWS
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
-    shards = index.where("dim = -1").select("size", "shard")
-    pairs = wanted.select("size", "block").distinct().join(shards, "size")
-    left = index.join(pairs, ["size", "shard"]).toDF(*_INDEX_NAMES, "block")
-    right = wanted.join(pairs, ["size", "block"]).toDF("size", "block", "id", "vector", "shard")
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if rows.num_rows and asked.num_rows:
-            shard = Shard(rows)
-            vectors = _scaled(asked["vector"], shard.values.shape[1])
-            for query_id, query in zip(asked["id"].to_pylist(), vectors, strict=True):
-                found += [(query_id, i, s) for s, i in shard.top(query_id, query, k)]
-        columns = list(zip(*found, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    group = ["size", "shard", "block"]
-    best = left.groupBy(*group).cogroup(right.groupBy(*group))
-    rows = best.applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    last = index.agg(F.max("shard")).first()[0]
+    every = F.sequence(F.lit(0), F.lit(-1 if last is None else last).cast("bigint"))
+    shards = F.explode(every if last is not None else F.array().cast("array<bigint>")).alias("shard")
+    asked = wanted.select("size", shards, F.lit(True).alias("asked"), "id", "vector")
+    both = index.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    # A shard's postings and then, in the same task, the queries.
+    dealt = both.repartition("size", "shard").sortWithinPartitions("size", "shard", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings: list[pa.RecordBatch] = []
+        here, shard = None, None
+        for batch in batches:
+            for part in _runs(batch):
+                place = (part["size"][0].as_py(), part["shard"][0].as_py())
+                if place != here:
+                    here, shard, postings = place, None, []
+                if not part["asked"][0].as_py():
+                    postings.append(part)
+                    continue
+                if postings:
+                    shard, postings = Shard(pa.Table.from_batches(postings)), []
+                for at in range(0, part.num_rows if shard else 0, QUERY_ROWS):
+                    some = part.slice(at, QUERY_ROWS)
+                    vectors = _scaled(pa.chunked_array([some["vector"]]), shard.values.shape[1])
+                    found: list[tuple[int, int, int]] = []
+                    for query_id, query in zip(some["id"].to_pylist(), vectors, strict=True):
+                        found += [(query_id, i, s) for s, i in shard.top(query_id, query, k)]
+                    columns = list(zip(*found, strict=True)) or [()] * 3
+                    yield pa.record_batch(
+                        [pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"]
+                    )
+
+    rows = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
