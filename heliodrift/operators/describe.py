@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from heliodrift.functions.parsing import nan_to_null
 from heliodrift.operators.columns import check_columns
 from heliodrift.schemas import MEASURES
+from heliodrift.session import shared_folder
 
 QUARTILES = (0.25, 0.5, 0.75)
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -32,10 +33,13 @@ def describe(
     The built-in exact percentile keeps every distinct value of a column in one
     task. That is used up to ``max_ranked`` rows; above, the quartiles are found by
     narrowing (see :func:`exact_quantiles`) and set into the one-pass aggregates.
+    The columns are written once, so no pass computes what ``df`` is made of again.
     """
     columns = check_columns(df, columns, strict=False)
     # One type on both ways to the quartiles; NaN is a missing value.
     df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    shared_folder(df.sparkSession)
+    df = df.checkpoint()
     if df.count() <= max_ranked:
         quartiles = {
             c: F.percentile(c, F.array(*map(F.lit, QUARTILES))) for c in columns

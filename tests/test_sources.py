@@ -139,3 +139,13 @@ def test_no_future_weather(spark, spine, tmp_path):
     assert load_future_weather(spark, spine).frame is None
     absent = load_future_weather(spark, spine, str(tmp_path / "absent.csv"))
     assert absent.frame is None and "absent.csv" in absent.reason
+
+
+def test_weather_of_files_with_different_headers_is_a_reason(spark, tmp_path):
+    """The error comes from the job that reads the folder, not from its plan."""
+    header = "DATE_TIME,AMBIENT_TEMPERATURE,MODULE_TEMPERATURE,IRRADIATION"
+    (tmp_path / "a.csv").write_text(f"{header}\n2020-05-16 00:00:00,1,2,3\n")
+    (tmp_path / "b.csv").write_text("IRRADIATION,DATE_TIME,MODULE_TEMPERATURE,AMBIENT_TEMPERATURE\n1,2020-05-16 00:15:00,2,3\n")
+    history = spark.createDataFrame([(datetime(2020, 5, 15, 23, 45),)], "DATE_TIME timestamp_ntz")
+    found = load_future_weather(spark, future_spine(history), str(tmp_path))
+    assert found.frame is None and found.reason
