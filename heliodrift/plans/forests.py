@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,9 +41,9 @@ from heliodrift.session import shared_folder
 # Predictions of these are clamped at 0; temperatures are not.
 NON_NEGATIVE = ("IRRADIATION", *POWER)
 _VECTOR = "__features"
-# Rows of a training task: a bounded number on large tables, and not few on small ones, as each
-# task sends split statistics of all nodes, whatever its rows. Fits side by side use the other cores.
-_SMALL_TASK_ROWS, _SMALL_TASKS = 12_000, 64
+# Tasks of a training pass: on large tables so many that each has a bounded number of rows. On
+# small ones both grow, since each task sends split statistics of all nodes, whatever its rows.
+_SMALL_TASK_ROWS, _SMALL_TASKS, _SMALL_GROWTH = 1_000, 64, 0.6
 _TASK_ROWS = 200_000
 # Fits that run at the same time; each waits for the result of every level.
 FIT_THREADS = 6
@@ -144,7 +145,8 @@ def training_frame(df: DataFrame) -> DataFrame:
 
 
 def training_parts(rows: int) -> int:
-    return max(1, min(_SMALL_TASKS, -(-rows // _SMALL_TASK_ROWS)), -(-rows // _TASK_ROWS))
+    small = math.ceil((rows / _SMALL_TASK_ROWS) ** _SMALL_GROWTH)
+    return max(1, min(_SMALL_TASKS, small), -(-rows // _TASK_ROWS))
 
 
 def train_target(
@@ -374,11 +376,14 @@ def out_of_bag_scores(
     every = sorted({c for names in features.values() for c in names})
     scaler = scaler_for(frame, every, profile)
     rows, scored = [], {}
+    # Draws go by the keys, so partitions may be fewer: trees side by side use the cores.
+    parts = -(-frame.count() // _TASK_ROWS) or 1
+    placed = frame.repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
     for target, names in features.items():
         names = existing(frame, names)
         if target not in frame.columns or not names or not has_at_least(frame, profile.min_rows):
             continue
-        ready = _assembled(frame, names, _only(scaler, names)).select(*ORDER, target, _VECTOR).checkpoint()
+        ready = _assembled(placed, names, _only(scaler, names)).select(*ORDER, target, _VECTOR).checkpoint()
         drawn = fit_drawn(ready, _VECTOR, target, profile, ORDER, threads)
         scored[target] = out_of_bag(ready, drawn, ORDER).drop(_VECTOR)
         found = fit_quality(scored[target], target).first()
