@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from heliodrift.llm import decontamination, language, linear, main_text, quality, toxicity
 
 SMALL = "/root/testdata/sf0.001"
@@ -253,3 +254,16 @@ def test_toxicity_without_a_signal_or_rows(spark):
     assert [(r.p_toxic, r.predicted) for r in found] == [(0.5, 0)] * 4
     assert toxicity.toxicity_scores(docs.limit(0), labels).collect() == []
     assert quality.quality_scores(docs.limit(0), labels.withColumnRenamed("toxic", "quality")).collect() == []
+
+
+def test_the_pipeline_on_an_empty_table_and_with_clashing_columns(spark, tmp_path):
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    odd = given.withColumns({c: F.lit(1) for c in ("key", "id", "row", "hub", "bucket", "items", "mark", "kept", "ids")})
+    (tmp_path / "more").mkdir()
+    odd.write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/more").collect()
+    assert 0 < len(found) <= given.count() and len({r.doc_id for r in found}) == len(found)
