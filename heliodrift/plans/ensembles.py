@@ -10,10 +10,11 @@ from typing import TYPE_CHECKING, TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliodrift.plans.drawn_trees import fit_in_tasks
 from heliodrift.session import shared_folder
 
 if TYPE_CHECKING:
@@ -23,6 +24,8 @@ PREDICTION = "__prediction"
 WEIGHT = "__weight"
 #: Members whose predictions are added up before the sums are written.
 SCORED_TOGETHER = 25
+#: Rows up to which a tree on a draw of keys is grown in one task; trees of more rows by Spark's passes.
+ROWS_IN_TASK = 200_000
 
 # Where 32 random bits pass from a draw of k to one of k + 1 copies, if the number
 # of copies of a row in a bootstrap sample is Poisson distributed with mean 1.
@@ -49,21 +52,25 @@ def side_by_side(
 class Ensemble:
     """Forests as one: the mean over all trees. A task holds one member's trees at a time."""
 
-    members: tuple[RandomForestRegressionModel, ...]
+    members: tuple[RandomForestRegressionModel | DecisionTreeRegressionModel, ...]
 
     @property
     def trees(self) -> int:
-        return sum(m.getNumTrees for m in self.members)
+        return sum(map(_trees_of, self.members))
 
     def transform(self, df: DataFrame) -> DataFrame:
         total = F.lit(0.0)
         for k, member in enumerate(self.members):
             df = member.copy().setPredictionCol(f"__member_{k}").transform(df)
-            total = total + F.col(f"__member_{k}") * member.getNumTrees
+            total = total + F.col(f"__member_{k}") * _trees_of(member)
         mean = df.withColumn(PREDICTION, total / self.trees)
         return mean.drop(*[f"__member_{k}" for k in range(len(self.members))])
 
 
+def _trees_of(member: RandomForestRegressionModel | DecisionTreeRegressionModel) -> int:
+    return 1 if isinstance(member, DecisionTreeRegressionModel) else member.getNumTrees
+
+
 def regressor(profile: ForestProfile, features: str, target: str, trees: int, seed: int) -> RandomForestRegressor:
     """Every feature is tried at every split; node ids are kept beside the rows, so a level does
     not walk down the whole tree again, and checkpointed so that lost executors cost little."""
@@ -98,22 +105,34 @@ def fit_groups(
     profile: ForestProfile,
     folder: str | None = None,
     threads: int = 1,
+    keys: Sequence[str] = (),
 ) -> Ensemble:
     """A forest fitted ``profile.group_trees`` trees at a time, each group with a seed of its own.
 
+    With ``profile.by_keys`` and ``keys`` each tree has its own draw of ``copies`` and is grown in a
+    task, up to ``ROWS_IN_TASK`` rows; the passes of more rows draw by the rows' places.
+
     With a ``folder`` each group is written when it is ready, and a later call with the same rows,
     features and profile goes on after the last one: what a lost driver had fitted is read.
     """
     size = profile.group_trees or profile.trees
     starts = list(range(0, profile.trees, size))
     wanted = f"{profile}|{target}|{fingerprint(data)}" if folder else ""
+    in_tasks = profile.by_keys and profile.bootstrap and bool(keys) and data.count() <= ROWS_IN_TASK
+
+    def draws(number: Column) -> Column:
+        return copies(F.concat_ws("-", F.lit(profile.seed).cast("string"), number.cast("string")), keys)
 
     def group(start: int) -> RandomForestRegressionModel:
         place = f"{folder}/{target}-{start}"
         if folder and _mark(data, f"{place}.done") == wanted:
             return RandomForestRegressionModel.load(place)
         trees = min(size, profile.trees - start)
-        model = regressor(profile, features, target, trees, profile.seed + start).fit(data)
+        one = regressor(profile, features, target, trees, profile.seed + start)
+        if in_tasks:
+            model = fit_in_tasks(data, features, target, profile, one, draws, start, trees)
+        else:
+            model = one.fit(data)
         if folder:
             model.write().overwrite().save(place)
             # Last, so that a group which is only half written counts for nothing.
@@ -137,11 +156,20 @@ def copies(tree: Column, keys: Sequence[str]) -> Column:
     It follows from the row's keys alone, wherever the row lies and however often a task runs.
     Rows that agree in all keys are drawn together.
     """
-    name = F.concat_ws("|", tree.cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
-    bits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    bits = _bits(tree, keys)
     return sum(((bits >= limit).cast("int") for limit in _COPIES), F.lit(0))
 
 
+def unseen(tree: Column, keys: Sequence[str]) -> Column:
+    """Whether a tree's sample has no copy of a row."""
+    return _bits(tree, keys) < _COPIES[0]
+
+
+def _bits(tree: Column, keys: Sequence[str]) -> Column:
+    name = F.concat_ws("|", tree.cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def fit_drawn(
     data: DataFrame,
     features: str,
@@ -152,6 +180,15 @@ def fit_drawn(
 ) -> Ensemble:
     """As many single trees as the profile has, each on its own draw of ``copies``."""
 
+    def some(start: int) -> list[DecisionTreeRegressionModel]:
+        trees = min(SCORED_TOGETHER, profile.trees - start)
+        model = regressor(profile, features, target, trees, profile.seed + start)
+        return fit_in_tasks(data, features, target, profile, model, lambda n: copies(n, keys), start, trees).trees
+
+    if data.count() <= ROWS_IN_TASK:
+        found = side_by_side(data.sparkSession, some, range(0, profile.trees, SCORED_TOGETHER), threads)
+        return Ensemble(tuple(tree for group in found for tree in group))
+
     def tree(number: int) -> RandomForestRegressionModel:
         drawn = data.withColumn(WEIGHT, copies(F.lit(number), keys).cast("double")).where(F.col(WEIGHT) > 0)
         one = regressor(profile, features, target, 1, profile.seed + number)
@@ -174,9 +211,9 @@ def out_of_bag(data: DataFrame, drawn: Ensemble, keys: Sequence[str]) -> DataFra
         for number in range(start, min(start + SCORED_TOGETHER, len(drawn.members))):
             guess = f"__member_{number}"
             table = drawn.members[number].copy().setPredictionCol(guess).transform(table)
-            unseen = copies(F.lit(number), keys) == 0
-            total = total + F.when(unseen, F.col(guess)).otherwise(0.0)
-            count = count + unseen.cast("int")
+            left_out = unseen(F.lit(number), keys)
+            total = total + F.when(left_out, F.col(guess)).otherwise(0.0)
+            count = count + left_out.cast("int")
         # Written, or the plan would grow with the number of trees.
         table = table.select(*names, total.alias("__sum"), count.alias("oob_trees")).checkpoint()
     mean = F.when(F.col("oob_trees") > 0, F.col("__sum") / F.col("oob_trees"))

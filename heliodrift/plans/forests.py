@@ -28,7 +28,15 @@ from heliodrift.operators.encode import (
 )
 from heliodrift.operators.sequences import lag_mean_names
 from heliodrift.operators.spine import entity_spine
-from heliodrift.plans.ensembles import Ensemble, fit_drawn, fit_groups, fit_quality, out_of_bag, side_by_side
+from heliodrift.plans.ensembles import (
+    ROWS_IN_TASK,
+    Ensemble,
+    fit_drawn,
+    fit_groups,
+    fit_quality,
+    out_of_bag,
+    side_by_side,
+)
 from heliodrift.plans.features import future_features, history_features, time_features
 from heliodrift.plans.persistence import (
     FORECAST_COLUMNS,
@@ -72,6 +80,8 @@ class ForestProfile:
     memory_mb: int = 256
     # Trees fitted together; None fits all at once.
     group_trees: int | None = None
+    # Bootstrap samples follow from the rows' keys, see ``fit_groups``.
+    by_keys: bool = False
 
 
 # Split needs 10 rows: the nearest setting is a leaf of 5.
@@ -170,8 +180,9 @@ def train_target(
     if scaler is None:
         scaler = scaler_for(frame, features, profile)
     scaler = _only(scaler, features)
-    data = _assembled(frame, features, scaler).select(_VECTOR, F.col(target))
-    forest = fit_groups(data, _VECTOR, target, profile, folder, threads)
+    keys = [c for c in existing(frame, ORDER) if c != target] if profile.by_keys else []
+    data = _assembled(frame, features, scaler).select(*keys, _VECTOR, F.col(target))
+    forest = fit_groups(data, _VECTOR, target, profile, folder, threads, keys)
     return TargetModel(target, tuple(features), scaler, forest)
 
 
@@ -376,9 +387,11 @@ def out_of_bag_scores(
     every = sorted({c for names in features.values() for c in names})
     scaler = scaler_for(frame, every, profile)
     rows, scored = [], {}
-    # Draws go by the keys, so partitions may be fewer: trees side by side use the cores.
-    parts = -(-frame.count() // _TASK_ROWS) or 1
-    placed = frame.repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
+    # Draws go by the keys, so the passes of large frames may have fewer partitions: trees side by
+    # side use the cores.
+    count, placed = frame.count(), frame
+    if count > ROWS_IN_TASK:
+        placed = frame.repartition(-(-count // _TASK_ROWS), *ORDER).sortWithinPartitions(*ORDER)
     for target, names in features.items():
         names = existing(frame, names)
         if target not in frame.columns or not names or not has_at_least(frame, profile.min_rows):
