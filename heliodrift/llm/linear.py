@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,24 +111,31 @@ class FollowTheLeader:
         return self._weights(self.z, self.n)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, rates: Rates) -> np.ndarray:
-    """Weights over ``size`` slots; the last slot is the bias and must not be in ``rows``."""
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, rates: Rates) -> np.ndarray:
+    """Weights over ``size`` slots; the last slot is the bias and must not be in ``rows``.
+
+    ``rows`` are gone through once an epoch.
+    """
     learner = FollowTheLeader(size, rates)
-    bias, one = np.array([size - 1]), np.ones(1, np.float32)
+    bias, one = np.array([size - 1], np.int32), np.ones(1, np.float32)
     for _ in range(rates.epochs):
         for (slots, values), label in zip(rows, labels, strict=True):
             learner.update(np.concatenate((slots, bias)), np.concatenate((values, one)), float(label))
     return learner.weights().astype(np.float32)
 
 
-def sparse_batch(models: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each model: its weights that are not zero. Schema ``SPARSE``."""
-    slots = [np.flatnonzero(w) for w in models]
+def sparse_batch(models: list[np.ndarray], names: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row for each model: its weights that are not zero. Schema ``SPARSE``.
+
+    ``names`` are the slots that the places of a model stand for, if not the places themselves.
+    """
+    places = [np.flatnonzero(w) for w in models]
+    slots = places if names is None else [names[i] for i in places]
     return pa.record_batch(
         [
             pa.array(range(len(models)), pa.int32()),
             pa.array(slots, pa.list_(pa.int32())),
-            pa.array([w[i] for w, i in zip(models, slots, strict=True)], pa.list_(pa.float32())),
+            pa.array([w[i] for w, i in zip(models, places, strict=True)], pa.list_(pa.float32())),
         ],
         ["model", "slots", "weights"],
     )

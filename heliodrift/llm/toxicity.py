@@ -14,13 +14,14 @@ labelled rows every probability is 0.5 and nothing is predicted to be toxic, whi
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliodrift.llm.batches import held_out, map_text
+from heliodrift.llm.batches import free_memory, held_out, map_text
 from heliodrift.llm.linear import (
     SAMPLE_ROWS,
     SPARSE,
@@ -45,37 +46,66 @@ CONTEMPT = ("stupid", "worthless", "pathetic", "disgusting", "trash", "garbage",
 CATEGORIES = ("insult", "contempt", "toxic")
 
 
-def _extended(rows, probabilities: np.ndarray, first: int):
-    """Rows with the earlier categories' probabilities in the slots from ``first`` on."""
-    slots = first + np.arange(probabilities.shape[1])
-    return [
-        (np.concatenate((s, slots)), np.concatenate((v, p)))
-        for (s, v), p in zip(rows, probabilities.astype(np.float32), strict=True)
-    ]
+@dataclass(frozen=True)
+class _Extended:
+    """Rows with the earlier categories' probabilities in the slots from ``first`` on.
+
+    Put together as they are read, so that no model of the chain keeps a copy of the sample.
+    """
+
+    rows: Sequence[tuple[np.ndarray, np.ndarray]]
+    probabilities: np.ndarray
+    first: int
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        slots = np.arange(self.first, self.first + self.probabilities.shape[1], dtype=np.int32)
+        for (s, v), p in zip(self.rows, self.probabilities.astype(np.float32), strict=True):
+            yield np.concatenate((s, slots)), np.concatenate((v, p))
+
+    def take(self, places: np.ndarray) -> _Extended:
+        return _Extended([self.rows[i] for i in places], self.probabilities[places], self.first)
 
 
 def _predict(weights: np.ndarray, rows) -> np.ndarray:
     return np.array([sigmoid(weights[s] @ v + weights[-1]) for s, v in rows])
 
 
-def fit_chain(rows, labels: np.ndarray, folds: np.ndarray, bits: int = FEATURES.bits) -> list[np.ndarray]:
-    """One array of weights for each column of ``labels``, in the order of the chain."""
+def fit_chain(
+    rows, labels: np.ndarray, folds: np.ndarray, bits: int = FEATURES.bits, slots: int | None = None
+) -> list[np.ndarray]:
+    """One array of weights for each column of ``labels``, in the order of the chain.
+
+    The rows have ``slots`` slots, by default as many as ``bits`` can name.
+    """
     count = labels.shape[1]
-    size = (1 << bits) + count + 1
+    first = 1 << bits if slots is None else slots
+    size = first + count + 1
     out, earlier = [], np.zeros((len(rows), 0))
     for k in range(count):
-        data = _extended(rows, earlier, 1 << bits)
+        data = _Extended(rows, earlier, first)
         guesses = np.full(len(rows), 0.5)
         for fold in range(FOLDS if k + 1 < count else 0):
             inside = np.flatnonzero(folds == fold)
             outside = np.flatnonzero(folds != fold)
-            weights = fit([data[i] for i in outside], labels[outside, k], size, RATES)
-            guesses[inside] = _predict(weights, [data[i] for i in inside])
+            weights = fit(data.take(outside), labels[outside, k], size, RATES)
+            guesses[inside] = _predict(weights, data.take(inside))
         out.append(fit(data, labels[:, k], size, RATES))
         earlier = np.column_stack((earlier, guesses))
     return out
 
 
+def fit_compact(rows, labels: np.ndarray, folds: np.ndarray, bits: int = FEATURES.bits) -> pa.RecordBatch:
+    """The chain over the slots that occur, which are few of those that ``bits`` can name."""
+    taken = np.zeros(1 << bits, bool)
+    for slots, _ in rows:
+        taken[slots] = True
+    used = np.flatnonzero(taken)
+    del taken
+    compact = [(np.searchsorted(used, s).astype(np.int32), v) for s, v in rows]
+    chain = fit_chain(compact, labels, folds, slots=len(used))
+    return sparse_batch(chain, np.concatenate((used, (1 << bits) + np.arange(labels.shape[1] + 1))))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, rows: int = SAMPLE_ROWS
 ) -> np.ndarray:
@@ -90,7 +120,10 @@ def train(
             truth += zip(*(batch.column(c).to_pylist() for c in categories), strict=True)
             ids += batch.column("doc_id").to_pylist()
         folds = mix(np.array(ids, np.int64).view(np.uint64), 5) % np.uint64(FOLDS)
-        yield sparse_batch(fit_chain(data, np.array(truth, float).reshape(-1, len(categories)), folds))
+        yield fit_compact(data, np.array(truth, float).reshape(-1, len(categories)), folds)
+        # The next task of this worker scores; it needs the memory.
+        data.clear()
+        free_memory()
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     size = (1 << FEATURES.bits) + len(categories) + 1

@@ -1,6 +1,7 @@
 """Rare languages, containers of pages, rare-shingle anchors and bounded training rows."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -267,3 +268,22 @@ def test_the_pipeline_on_an_empty_table_and_with_clashing_columns(spark, tmp_pat
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/more/benchmark.parquet")
     found = corpus_pipeline.run(spark, f"{tmp_path}/more").collect()
     assert 0 < len(found) <= given.count() and len({r.doc_id for r in found}) == len(found)
+
+
+def test_a_chain_over_the_slots_that_occur_has_the_same_weights_in_less_memory():
+    rng = np.random.default_rng(4)
+    bits = 20
+    slots = [np.unique(rng.integers(0, 200, 60)).astype(np.int32) * 4096 for _ in range(300)]
+    rows = [(s, np.ones(len(s), np.float32)) for s in slots]
+    labels = np.array([[float(4096 * k in s) for k in (3, 7, 11)] for s in slots])
+    folds = np.arange(300) % toxicity.FOLDS
+    plain = toxicity.fit_chain(rows, labels, folds, bits=bits)
+    found = toxicity.fit_compact(rows, labels, folds, bits=bits).to_pylist()
+    tracemalloc.start()
+    toxicity.fit_compact(rows, labels, folds, bits=bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for weights, row in zip(plain, found, strict=True):
+        assert np.flatnonzero(weights).tolist() == row["slots"]
+        assert weights[row["slots"]].tolist() == row["weights"] and len(row["slots"]) > 2
+    assert peak < 8 << bits  # two arrays of doubles over all slots would take twice that
