@@ -87,7 +87,7 @@ class ForestProfile:
 # Split needs 10 rows: the nearest setting is a leaf of 5.
 CHAIN_PROFILE = ForestProfile(50, 15, 5, 10, skip_cyclical=False)
 # Split needs 8 rows: implied by the leaf of 4.
-LAG_PROFILE = ForestProfile(150, 25, 4, 20, skip_cyclical=True, count_null=True, group_trees=25)
+LAG_PROFILE = ForestProfile(150, 25, 4, 20, skip_cyclical=True, count_null=True, group_trees=25, by_keys=True)
 
 # Which earlier targets each target learns from.
 CHAIN_INPUTS = {
