@@ -36,10 +36,14 @@ _NODES = (
 
 def cuts(values: np.ndarray, bins: int) -> np.ndarray:
     """Thresholds between distinct values; of more than ``bins`` values, those at even shares of the rows."""
-    distinct, counts = np.unique(values, return_counts=True)
+    return spread(*np.unique(values, return_counts=True), bins)
+
+
+def spread(distinct: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """The same for distinct values in order and the rows that have them."""
     before = np.arange(len(distinct) - 1)
     if len(distinct) > bins:
-        shares = np.arange(1, bins) * (len(values) / bins)
+        shares = np.arange(1, bins) * (counts.sum() / bins)
         before = np.unique(np.searchsorted(np.cumsum(counts), shares))
         before = before[before < len(distinct) - 1]
     return (distinct[before] + distinct[before + 1]) / 2

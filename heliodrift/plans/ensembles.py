@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodrift.plans.drawn_trees import fit_in_tasks
+from heliodrift.plans.wide_trees import ROW, WrittenTrees, binned_rows, fit_wide, guesses_of_the_unseen
 from heliodrift.session import shared_folder
 
 if TYPE_CHECKING:
@@ -177,8 +178,13 @@ def fit_drawn(
     profile: ForestProfile,
     keys: Sequence[str],
     threads: int = 1,
-) -> Ensemble:
-    """As many single trees as the profile has, each on its own draw of ``copies``."""
+    written: bool = False,
+) -> Ensemble | WrittenTrees:
+    """As many single trees as the profile has, each on its own draw of ``copies``.
+
+    Up to ``ROWS_IN_TASK`` rows each is grown in a task. Trees of more rows are grown by Spark's
+    passes, or, if they may stay ``written``, in tasks of no more rows; those go to ``out_of_bag``.
+    """
 
     def some(start: int) -> list[DecisionTreeRegressionModel]:
         trees = min(SCORED_TOGETHER, profile.trees - start)
@@ -188,6 +194,9 @@ def fit_drawn(
     if data.count() <= ROWS_IN_TASK:
         found = side_by_side(data.sparkSession, some, range(0, profile.trees, SCORED_TOGETHER), threads)
         return Ensemble(tuple(tree for group in found for tree in group))
+    if written:
+        numbered = data.withColumn(ROW, F.monotonically_increasing_id())
+        return fit_wide(numbered, features, target, profile, _all_bits(profile.trees, keys), _COPIES, ROWS_IN_TASK)
 
     def tree(number: int) -> RandomForestRegressionModel:
         drawn = data.withColumn(WEIGHT, copies(F.lit(number), keys).cast("double")).where(F.col(WEIGHT) > 0)
@@ -198,13 +207,26 @@ def fit_drawn(
     return Ensemble(tuple(side_by_side(data.sparkSession, tree, range(profile.trees), threads)))
 
 
-def out_of_bag(data: DataFrame, drawn: Ensemble, keys: Sequence[str]) -> DataFrame:
+def _all_bits(trees: int, keys: Sequence[str]) -> Column:
+    """The bits of all trees, in order."""
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda n: _bits(n, keys))
+
+
+def out_of_bag(data: DataFrame, drawn: Ensemble | WrittenTrees, keys: Sequence[str]) -> DataFrame:
     """``data`` with ``oob_trees``, the trees that did not draw a row, and their mean prediction.
 
     A row that every tree drew has none.
     """
     shared_folder(data.sparkSession)
     names = data.columns
+    mean = F.when(F.col("oob_trees") > 0, F.col("__sum") / F.col("oob_trees"))
+    if isinstance(drawn, WrittenTrees):
+        numbered = data.withColumn(ROW, F.monotonically_increasing_id()).checkpoint()
+        rows = binned_rows(numbered, drawn.features, drawn.thresholds, _all_bits(drawn.trees, keys), _COPIES)
+        guessed = numbered.join(guesses_of_the_unseen(rows, drawn), ROW, "left")
+        # Written, or each use would score the rows again.
+        table = guessed.select(*names, "__sum", F.coalesce("oob_trees", F.lit(0)).alias("oob_trees")).checkpoint()
+        return table.withColumn(PREDICTION, mean).drop("__sum")
     table = data.withColumns({"__sum": F.lit(0.0), "oob_trees": F.lit(0)})
     for start in range(0, len(drawn.members), SCORED_TOGETHER):
         total, count = F.col("__sum"), F.col("oob_trees")
@@ -216,7 +238,6 @@ def out_of_bag(data: DataFrame, drawn: Ensemble, keys: Sequence[str]) -> DataFra
             count = count + left_out.cast("int")
         # Written, or the plan would grow with the number of trees.
         table = table.select(*names, total.alias("__sum"), count.alias("oob_trees")).checkpoint()
-    mean = F.when(F.col("oob_trees") > 0, F.col("__sum") / F.col("oob_trees"))
     return table.withColumn(PREDICTION, mean).drop("__sum")
 
 

@@ -53,6 +53,8 @@ _VECTOR = "__features"
 # small ones both grow, since each task sends split statistics of all nodes, whatever its rows.
 _SMALL_TASK_ROWS, _SMALL_TASKS, _SMALL_GROWTH = 1_000, 64, 0.6
 _TASK_ROWS = 200_000
+# The least tasks of a pass over all trees of a frame that is too large for one.
+_WIDE_TASKS = 16
 # Fits that run at the same time; each waits for the result of every level.
 FIT_THREADS = 6
 # The same for single trees, whose passes are short.
@@ -387,17 +389,18 @@ def out_of_bag_scores(
     every = sorted({c for names in features.values() for c in names})
     scaler = scaler_for(frame, every, profile)
     rows, scored = [], {}
-    # Draws go by the keys, so the passes of large frames may have fewer partitions: trees side by
-    # side use the cores.
+    # Draws go by the keys, so the partitions of large frames are those that suit the passes over
+    # all trees. By content, as a key may repeat.
     count, placed = frame.count(), frame
     if count > ROWS_IN_TASK:
-        placed = frame.repartition(-(-count // _TASK_ROWS), *ORDER).sortWithinPartitions(*ORDER)
+        parts = max(_WIDE_TASKS, -(-count // _TASK_ROWS))
+        placed = frame.repartition(parts, *frame.columns).sortWithinPartitions(*ORDER, F.xxhash64(*frame.columns))
     for target, names in features.items():
         names = existing(frame, names)
         if target not in frame.columns or not names or not has_at_least(frame, profile.min_rows):
             continue
         ready = _assembled(placed, names, _only(scaler, names)).select(*ORDER, target, _VECTOR).checkpoint()
-        drawn = fit_drawn(ready, _VECTOR, target, profile, ORDER, threads)
+        drawn = fit_drawn(ready, _VECTOR, target, profile, ORDER, threads, written=True)
         scored[target] = out_of_bag(ready, drawn, ORDER).drop(_VECTOR)
         found = fit_quality(scored[target], target).first()
         rows.append((target, found["r2"], found["rows"], drawn.trees))
