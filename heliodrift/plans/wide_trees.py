@@ -31,6 +31,8 @@ ROWS_MOVED = 60_000_000
 NODES_TOGETHER = 400
 #: Values of a feature, each with its share of the rows, that stand for a partition with more.
 _KEPT = 2048
+#: Rows of a node, on average, down to which a task adds up by bin.
+DENSE = 128
 # What a node without a split is: the root of a part grown in a task, or a leaf.
 _GOES_ON, _LEAF = -1, -2
 
@@ -285,7 +287,7 @@ def fit_wide(
         tree, node = key[0].as_py(), key[1].as_py()
         table = table.sort_by(ROW)
         x, y = np.ascontiguousarray(_bytes(table["x"], kind)), table["y"].to_numpy()
-        nodes = grow(x, y, table["copies"].to_numpy(), depth - tops[tree].level[node], min_leaf)
+        nodes = grow(x, y, table["copies"].to_numpy(), depth - tops[tree].level[node], min_leaf, DENSE)
         lists = {"feature": (nodes["feature"], pa.int32()), "bin": (nodes["bin"], pa.int32()), "left": (nodes["left"], pa.int32()), "mean": (nodes["mean"], pa.float64())}
         return pa.table(
             {"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32())}

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from heliodrift.plans import ensembles, forests, wide_trees
-from heliodrift.plans.drawn_trees import cuts
+from heliodrift.plans.drawn_trees import cuts, grow
 from heliodrift.plans.ensembles import fit_drawn, out_of_bag
 from heliodrift.plans.forests import LAG_PROFILE, out_of_bag_scores
 from heliodrift.plans.wide_trees import WrittenTrees, find_thresholds
@@ -100,3 +100,14 @@ def test_the_scores_of_large_frames_need_no_pass_of_spark(spark, data, monkeypat
     (row,) = table.collect()
     assert row["trees"] == 3 and row["oob_r2"] > 0.2
     assert row["rows"] == scored[TARGET].where("oob_trees > 0").count() > 700
+
+
+@pytest.mark.parametrize("dense", [20, 300])
+def test_sums_by_bin_give_the_same_tree(dense):
+    rng = np.random.default_rng(3)
+    binned, weight = rng.integers(0, 60, (3, 4_000)).astype(np.uint8), rng.poisson(1, 4_000)
+    target = binned[0] * 2.0 + (binned[1] > 30) * 50 + rng.normal(size=4_000)
+    plain, found = (grow(binned, target, weight, 25, 20, d) for d in (None, dense))
+    for name in ("feature", "bin", "left", "right", "rows"):
+        assert found[name].tolist() == plain[name].tolist()
+    assert found["mean"] == pytest.approx(plain["mean"]) and len(found["mean"]) > 100
